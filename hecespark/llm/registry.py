@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hecespark.llm import bpe, mixing, toxicity
+from hecespark.llm import bpe, mixing, secrets, toxicity
 from hecespark.runtime import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
     "op10_mixing": op10_mixing,
