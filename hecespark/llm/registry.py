@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hecespark.llm import bpe, mixing, secrets, toxicity
+from hecespark.llm import bpe, mixing, secrets, simhash, toxicity
 from hecespark.runtime import table
 
 
@@ -21,6 +21,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
+    "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
