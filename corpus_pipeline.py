@@ -1,12 +1,59 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Toxic documents go; one document of each near-duplicate group stays; secrets are masked; the sources are mixed to
+tempered weights in blocks of equal length; the blocks are encoded. SQL can express neither the classifier nor the
+later stages, so ORACLE_SQL is None and tests hold every stage against brute force.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from hecespark.llm import bpe, mixing, secrets, simhash, toxicity
+from hecespark.runtime import shared_dir, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't find toxic; it is fitted on the labelled among those that come in."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id; all documents outside groups."""
+    return simhash.drop_near(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secrets.mask(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of all documents' tokens as new documents, drawn to the sources' tempered weights."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, tokens, n_tokens and lossless of each block."""
+    return bpe.encode(docs, keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+    ("tokens", tokens_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
