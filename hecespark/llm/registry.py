@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hecespark.llm import bpe, mixing, secrets, simhash, toxicity
+from hecespark.llm import bpe, mixing, recompression, secrets, simhash, suffixes, toxicity
 from hecespark.runtime import table
 
 
@@ -21,6 +21,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_recompression": op7_recompression,
+    "op8_suffix_array": op8_suffix_array,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }

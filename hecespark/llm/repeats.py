@@ -1,0 +1,146 @@
+"""What the two substring deduplicators share: exact repeats of at least WINDOW words, wherever they start.
+
+A window is WINDOW words in a row. A word is *repeated* if a window that covers it occurs elsewhere: in another
+document, or at another place of the same. Each operator gives every window a key that equal windows share: a
+symbol (recompression) or a q-gram (suffix buckets) inside it. One shuffle brings together the windows of a key: a row has the key's
+place and a 32-bit identifier for each window that it serves. Windows of equal key, offset to it and identifier are equal (96 bits
+have to agree). Only runs of repeated windows leave the buckets; a second, small shuffle joins them by document.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from hecespark.llm.arrow import lists, mixed, steps, words
+from hecespark.runtime import bind
+
+WINDOW = 50
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The name of a then b: a fingerprint, so that equal pairs have one name everywhere and no dictionary is needed."""
+    return mixed(a * _A + b + _B)
+
+
+def refined(ids: np.ndarray, offset: int) -> np.ndarray:
+    """Identifiers of longer starts: that of each position with that of the position ``offset`` later (0 beyond the end)."""
+    later = np.zeros_like(ids)
+    if offset < len(ids):
+        later[:-offset] = ids[offset:]
+    return named(ids, later)
+
+
+def starts_of(hashes: np.ndarray, length: int) -> np.ndarray:
+    """An identifier of the ``length`` words from each position on: doubled, then completed by an overlapping start."""
+    ids, have = hashes, 1
+    while have * 2 <= length:
+        ids, have = refined(ids, have), have * 2
+    return refined(ids, length - have) if have < length else ids
+
+
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word positions at which windows start, and their documents."""
+    n = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offsets[:-1][doc], doc
+
+
+def rows(hashes: np.ndarray, offsets: np.ndarray, key: np.ndarray, place: np.ndarray, at: np.ndarray, doc: np.ndarray, ids: np.ndarray, doc_ids: pa.Array) -> pa.RecordBatch:
+    """A row for each run of windows (starting at ``at``) with one key at one place."""
+    if not len(at):
+        new = np.zeros(0, np.int64)
+    else:
+        new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])])
+    first = at[new]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[new].view(np.int64)), doc_ids.take(pa.array(doc[new])), pa.array((first - offsets[:-1][doc[new]]).astype(np.int32)), pa.array((place[new] - first).astype(np.int32)), lists(ids.astype(np.uint32).view(np.int32), np.r_[new, len(at)], pa.int32())],
+        names=["key", "doc_id", "start", "off", "ids"],
+    )
+
+
+ROWS = "key bigint, doc_id bigint, start int, off int, ids array<int>"
+
+
+def keyed_kernel(batches: Iterator[pa.RecordBatch], module: str, name: str, options: dict) -> Iterator[pa.RecordBatch]:
+    import importlib
+
+    keys: Callable = getattr(importlib.import_module(module), name)
+    for batch in steps(batches, "text"):
+        hashes, offsets = words(batch.column("text"))
+        at, doc = windows(offsets)
+        if not len(at):
+            continue
+        ids = starts_of(hashes, WINDOW)
+        key, place = keys(hashes, offsets, at, ids, **options)
+        yield rows(hashes, offsets, key, place, at, doc, ids[at] & np.uint64(0xFFFFFFFF), batch.column("doc_id"))
+
+
+def bucket_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows. The rows come in the order of their keys; those of a key are held until all are there."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        if held and held[-1].column("key")[0].as_py() != key[0]:
+            yield repeated(held)
+            held = []
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+        if cut:
+            yield repeated([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield repeated(held)
+
+
+def repeated(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    t = pa.Table.from_batches(batches).combine_chunks()
+    key, doc, start, off = (t.column(c).to_numpy() for c in ("key", "doc_id", "start", "off"))
+    same = np.r_[False, key[1:] == key[:-1]]
+    again = same & np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (off[1:] == off[:-1])]  # a row of documents that is there twice
+    shared = same | np.r_[same[1:], False]
+    rows = np.flatnonzero(shared & ~again)
+    listed = t.column("ids").combine_chunks().take(pa.array(rows))
+    n = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = listed.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(rows)), n)
+    k = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    bucket = named(mixed(key[rows].view(np.uint64))[row] + (off[rows][row] - k).astype(np.uint64) * _B, ids)
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+    size = np.zeros(len(ids), np.int64)
+    size[order] = np.repeat(np.diff(np.r_[begin, len(ordered)]), np.diff(np.r_[begin, len(ordered)]))
+    hit = np.flatnonzero(size > 1)
+    new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])][: len(hit)]
+    first = np.flatnonzero(new)
+    stop = np.r_[first[1:], len(hit)] - 1
+    a, b = hit[first], hit[stop] if len(hit) else hit
+    copies = np.maximum.reduceat(size[hit], first) if len(hit) else np.zeros(0, np.int64)
+    begins = start[rows][row[a]] + k[a]
+    ends = start[rows][row[a]] + k[b] + WINDOW
+    return pa.RecordBatch.from_arrays([pa.array(doc[rows][row[a]]), pa.array(begins.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(copies)], names=["doc_id", "start", "stop", "copies"])
+
+
+def spans(docs: DataFrame, module: str, name: str, **options) -> DataFrame:
+    """(doc_id, start_word, stop_word, n_words, copies): the maximal runs of repeated words; copies: how often the most frequent of a run's windows occurs.
+
+    Words are what is between white space, as they are. Texts of fewer words, null texts and rows without an id have none; a row
+    of documents that is there twice counts once. Of docs only doc_id and text are read.
+    """
+    given = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    keyed = given.mapInArrow(bind(__name__, "keyed_kernel", module, name, options), ROWS)
+    found = keyed.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(bind(__name__, "bucket_kernel"), "doc_id bigint, start int, stop int, copies bigint")
+    before = Window.partitionBy("doc_id").orderBy("start", "stop")
+    marked = found.withColumn("reach", F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = marked.withColumn("run", F.sum((F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("long")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = marked.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), F.max("stop").alias("stop_word"), F.max("copies").alias("copies"))
+    return merged.select("doc_id", "start_word", "stop_word", (F.col("stop_word") - F.col("start_word")).alias("n_words"), "copies")
