@@ -1,30 +1,36 @@
-"""Parsing words: from roots through suffixes to the word's end, as a chain of broadcast joins.
+"""Parsing words: a word's analyses into a root and a chain of suffixes.
 
-Fragments of all words go through the chain together. A step joins each with the realizations of its state, context and next letter
-(hash lookups in a table of fixed size) and keeps those whose literal is what the word has there; a fragment at the end of its word, in an accepting state, moves to
-FINAL and stays. Each word is parsed once, with no shuffle until its analyses are ranked.
+analyses() sends each distinct word through the kernel of chart.py, with no shuffle but the one that makes them distinct. analyses_by_joins() says
+the same as a chain of broadcast joins: fragments of all words meet the realizations of their state, context and next letter
+(hash lookups in a table of fixed size) and keep those whose literal is what the word has there.
 """
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
-from hecespark.operators import realize
+from hecespark.operators import chart, realize
+from hecespark.operators.chart import APOSTROPHE, BARE, MAX_OOV, N_AFTER, OOV, OOV_LETTER, ROOT_LETTER, TITLE
+from hecespark.runtime import bind
 from hecespark.sources import dims
 
-MAX_OOV, OOV, OOV_LETTER, ROOT_LETTER, BARE, APOSTROPHE, TITLE = 12, -50.0, 0.35, 0.15, 0.5, 3.0, 1.0
+#: A lexicon of more roots isn't held by workers: its words are parsed by joins.
+HELD_ROOTS = 1_000_000
 #: Suffixes of a word, at most: the longest word that Turkish is teased with has 17.
 STEPS, STAGE_STEPS = 20, 3
-N_AFTER = ("POSS_3SG", "POSS_3PL", "REL_KI")
 
 
-def prepared(words: DataFrame, word: str = "word") -> DataFrame:
+def prepared(words: DataFrame, word: str = "word", contexts: bool = True) -> DataFrame:
     """(word, w, n, at_apostrophe, title, contexts) of distinct words that have a letter left."""
     w = words.select(F.col(word).alias("word")).where("word is not null").distinct()
     w = w.select("word", chars.letters_only("word").alias("w"), chars.apostrophe_at("word").alias("apo"), chars.title_case("word").alias("title"))
     w = w.withColumn("n", F.length("w")).where("n > 0")
+    if not contexts:
+        return w
     return w.withColumn("contexts", F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: realize.context_of(F.col("w").substr(F.lit(1), k))))
 
 
@@ -107,16 +113,35 @@ def boundaries(root_chunk: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, F.array(F.length(root_chunk)), lambda done, c: F.concat(done, F.array(F.element_at(done, -1) + F.length(c))))
 
 
-def analyses(words: DataFrame, word: str = "word", roots: DataFrame | None = None, return_all: bool = False, oov: bool = True, steps: int = STEPS, table: DataFrame | None = None, bits=None) -> DataFrame:
+def analyses(words: DataFrame, word: str = "word", roots: DataFrame | None = None, return_all: bool = False, oov: bool = True, g: dims.Grammar | None = None) -> DataFrame:
     """(word, rank, root, root_class, final_class, oov, score, ids, chunks, root_chunk): analyses of the distinct words, best first; ranks
     from 1. Without return_all only those that share the best score. Words of no letters have none, nor have words
     that no root of up to MAX_OOV letters and suffixes make up. With oov=False only known roots count.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    payload = None
+    if roots is not None or g is not None:
+        if roots is not None and roots.count() > HELD_ROOTS:
+            return analyses_by_joins(words, word, roots, return_all, oov)
+        held = [(r["root_id"], dims.root_of(r)) for r in roots.orderBy("root_id").collect()] if roots is not None else list(enumerate(dims.roots()))
+        bits = realize.derivation_bits({"caus": sorted({r.caus for _, r in held if r.caus}), "pass": sorted({r.passive for _, r in held if r.passive})})
+        payload = pickle.dumps((realize.keyed(realize.rows(g or dims.grammar(), bits)), held, bits))
+    schema = to_arrow_schema(_parse_datatype_string(chart.SCHEMA))
+    given = prepared(words, word, contexts=False).select("word", "w", "apo", "title")
+    return given.mapInArrow(bind(chart.__name__, "kernel", payload, oov, return_all, schema), chart.SCHEMA)
+
+
+def analyses_by_joins(words: DataFrame, word: str = "word", roots: DataFrame | None = None, return_all: bool = False, oov: bool = True, steps: int = STEPS, table: DataFrame | None = None, bits=None) -> DataFrame:
+    """What analyses() gives, by one join for each suffix of the longest word: up to ``steps`` of them."""
     spark = words.sparkSession
     small = roots is None
     roots = roots if roots is not None else dims.root_frame(spark)
-    bits = bits if bits is not None else realize.packaged_bits()
-    table = table if table is not None else realize.realizations(spark)
+    if bits is None:
+        licensed = lambda c: sorted(r[0] for r in roots.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        bits = realize.packaged_bits() if small else realize.derivation_bits({"caus": licensed("caus_deriv"), "pass": licensed("pass_deriv")})
+    table = table if table is not None else realize.realizations(spark, None if small else dims.grammar(), bits)
     f = seeds(prepared(words, word), roots, bits, oov, small)
     for k in range(steps + 1):
         f = extended(f, table)

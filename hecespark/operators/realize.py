@@ -162,4 +162,4 @@ def _packaged() -> list[tuple]:
 
 
 def realizations(spark: SparkSession, g: dims.Grammar | None = None, bits: dict[tuple[str, str], int] | None = None) -> DataFrame:
-    return spark.createDataFrame(_packaged() if g is None and bits is None else keyed(rows(g or dims.grammar(), bits if bits is not None else packaged_bits())), SCHEMA)
+    return spark.createDataFrame(_packaged() if g is None else keyed(rows(g or dims.grammar(), bits if bits is not None else packaged_bits())), SCHEMA)

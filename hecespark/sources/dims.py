@@ -152,6 +152,10 @@ def root_frame(spark: SparkSession, given: tuple[Root, ...] | None = None) -> Da
     return spark.createDataFrame(rows, f"root_id bigint, {ROOT_SCHEMA}")
 
 
+def root_of(row) -> Root:
+    return Root(row["form"], row["class"], row["frequency"] or 0, bool(row["soften"]), tuple(row["variants"] or ()), bool(row["aorist_high"]), row["caus_deriv"], row["pass_deriv"], bool(row["pronominal_n"]))
+
+
 def form_frame(root_df: DataFrame) -> DataFrame:
     """(key, surf, root_id): the folded spellings by which a root is found: its form, its variants, its softened form."""
     from hecespark.functions import chars
