@@ -20,8 +20,7 @@ ADAPTERS: dict[str, Callable[[Column], Column]] = {
 
 def clean(piece: Column) -> Column:
     for m in MARKS:
-        piece = F.when(piece.startswith(m), F.substring(piece, F.lit(len(m) + 1), F.length(piece))).otherwise(piece)
-        piece = F.when(piece.endswith(m), F.substring(piece, F.lit(1), F.length(piece) - len(m))).otherwise(piece)
+        piece = F.regexp_replace(F.regexp_replace(piece, rf"\A\Q{m}\E", ""), rf"\Q{m}\E\z", "")
     return piece
 
 

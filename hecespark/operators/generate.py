@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hecespark.functions import chars
 from hecespark.sources import dims
 
-#: name -> function(stem, template, context) giving (stem, template); context has prev, prev_empty, next and the root's flags.
+#: In the order in which they apply, which is that in which suffixes declare them. name -> function(stem, template, context) giving (stem, template); context has prev, prev_empty, next and the root's flags.
 FORWARD: dict[str, Callable] = {}
 
 
@@ -24,16 +24,16 @@ def forward(name: str):
     return add
 
 
-@forward("drop_initial_H_after_vowel_stem")
-def _drop_h(stem, t, c):
-    return stem, F.when(chars.ends_in_vowel(stem) & t.startswith("H"), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
-
-
 @forward("delete_stem_final_low_vowel")
 def _shorten(stem, t, c):
     return F.when(chars.ends_in(chars.LOW, stem), F.left(stem, F.length(stem) - 1)).otherwise(stem), t
 
 
+@forward("drop_initial_H_after_vowel_stem")
+def _drop_h(stem, t, c):
+    return stem, F.when(chars.ends_in_vowel(stem) & t.startswith("H"), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+
+
 @forward("insert_n_after_3rd_person_possessive")
 def _insert_n(stem, t, c):
     return stem, F.when(c["prev"].isin("POSS_3SG", "POSS_3PL", "REL_KI") | (c["pronominal_n"] & (c["prev"] == "")), F.concat(F.lit("n"), t)).otherwise(t)
