@@ -2,7 +2,7 @@
 
 Features are the distinct words of a text and their first letters (3 to 5 of them), so that inflected and compound
 forms share what their stems have taught. The features that tell the labels apart best are kept. For each labelled text
-with an identity term, counterparts are made in which the term is swapped for others of its group; besides
+with an identity term, counterparts are made in which the term is swapped for others of its group, or for nothing; besides
 logistic loss, training pays for the squared difference of the scores of text and counterparts. A group that is
 merely mentioned more often in toxic labels then can't raise the score of neutral mentions.
 """
@@ -41,7 +41,7 @@ IDENTITIES = (
     "mujer hombre mujeres hombres chica chico".split(),
 )
 SWAPS = {t: tuple(x for x in group if x != t) for group in IDENTITIES for t in group}
-#: Counterparts that are made of a text, at most: the terms that follow its own in their group.
+#: Counterparts that are made of a text, at most: with the terms that follow its own in their group, and without terms.
 COUNTERPARTS = 3
 
 
@@ -106,14 +106,16 @@ def count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def swapped(text: str) -> list[str]:
-    """The text with each identity term replaced by others of its group, term for term; none without such a term."""
+    """The text with each identity term replaced by others of its group, term for term, and last with all terms left out; none without such a term.
+
+    The others make the terms of a group count alike; leaving them out makes that what no term counts."""
     import re
 
     parts = re.split(r"([^\W_]+)", text.lower())
     if not any(p in SWAPS for p in parts):
         return []
-    rounds = min(COUNTERPARTS, min(len(SWAPS[p]) for p in parts if p in SWAPS))
-    return ["".join(SWAPS[p][k] if p in SWAPS else p for p in parts) for k in range(rounds)]
+    rounds = min(COUNTERPARTS - 1, min(len(SWAPS[p]) for p in parts if p in SWAPS))
+    return ["".join(SWAPS[p][k] if p in SWAPS else p for p in parts) for k in range(rounds)] + ["".join(p for p in parts if p not in SWAPS)]
 
 
 def example_kernel(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
