@@ -27,7 +27,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before merging, as for the vocabulary's own tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces that a worker keeps the tokens of; beyond that it starts again.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
+#: Bytes of text whose temporaries are in memory together, for texts that are shorter than that.
+STEP = 1 << 20
 
 
 class Vocabulary:
@@ -102,7 +104,7 @@ class Vocabulary:
                     left = self.halves[left][1]
                     if left == limit:
                         break
-        if len(self.compatible) < 2_000_000:
+        if len(self.compatible) < 500_000:
             self.compatible[a, b] = ok
         return ok
 
@@ -278,7 +280,7 @@ def encode_all(pieces: Pieces, texts: list[str], pattern: str) -> tuple[np.ndarr
 
 def kernel(batches: Iterator[pa.RecordBatch], packed: bytes, text: str, pattern: str, keep: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     pieces = load(zlib.decompress(packed))
-    for batch in steps(batches, text):
+    for batch in steps(batches, text, STEP):
         column = batch.column(text)
         texts = pc.fill_null(column, "").to_pylist()
         null = column.is_null().to_numpy(zero_copy_only=False)
