@@ -38,10 +38,10 @@ def tokenize(words: DataFrame, suggest: bool = True, alternatives: bool = True,
 def responses(requests: DataFrame, **options) -> DataFrame:
     """(request_id, status, body) of requests (request_id, word): 400 where the word is missing or longer than LONGEST, else 200 with the analysis as JSON."""
     bad = F.col("word").isNull() | (F.trim("word") == "")
-    long = F.coalesce(F.length("word") > LONGEST, F.lit(False))
-    r = requests.select("request_id", "word", F.when(bad, "missing word").when(long, "too long").alias("fault"))
+    long = F.coalesce(F.length(F.trim("word")) > LONGEST, F.lit(False))
+    r = requests.select("request_id", F.trim("word").alias("word"), F.when(bad, "missing word").when(long, "too long").alias("fault"))
     answers = tokenize(r.where("fault is null").select("word"), **options)
-    j = r.join(answers.withColumnRenamed("word", "key"), F.trim(r["word"]) == F.col("key"), "left")
+    j = r.join(answers.withColumnRenamed("word", "key"), r["word"] == F.col("key"), "left")
     body = F.when(F.col("fault").isNotNull(), F.to_json(F.struct(F.col("fault").alias("error")))).otherwise(F.to_json(F.struct("word", "parsed", "error", "segments", "analysis", "suggestions", "alternatives")))
     return j.select("request_id", F.when(F.col("fault").isNotNull(), 400).otherwise(200).alias("status"), body.alias("body"))
 
