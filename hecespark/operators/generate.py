@@ -82,6 +82,22 @@ def get_forward(name: str) -> Callable:
     return FORWARD[name]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is named: an expression that uses it several times stays small."""
+    return F.transform(F.array(value), f)[0]
+
+
+def ruled(name: str, rules: Column, context: dict) -> Callable[[Column], Column]:
+    """A step from (stem, template) to those that the rule makes, where it is among rules."""
+
+    def step(y: Column) -> Column:
+        stem, template = get_forward(name)(y["stem"], y["template"], context)
+        has = F.array_contains(rules, name)
+        return F.struct(F.when(has, stem).otherwise(y["stem"]).alias("stem"), F.when(has, template).otherwise(y["template"]).alias("template"))
+
+    return step
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """How many characters the two begin with alike."""
     n = F.least(F.length(a), F.length(b))
@@ -118,15 +134,12 @@ def generate(cases: DataFrame, g: dims.Grammar | None = None, strict: bool = Tru
 
     def step(acc: Column, x: Column) -> Column:
         context = flags | {"prev": acc["prev"], "prev_empty": acc["prev_empty"], "next": x["next"]}
-        stem, template = acc["surface"], x["s"]["template"]
+        now = F.struct(acc["surface"].alias("stem"), x["s"]["template"].alias("template"))
         for name in FORWARD:
-            has = F.array_contains(x["s"]["rules"], name)
-            new_stem, new_template = get_forward(name)(stem, template, context)
-            stem, template = F.when(has, new_stem).otherwise(stem), F.when(has, new_template).otherwise(template)
-        # the rules' outcome is named before it is used again, so that the expression stays small
-        made = F.transform(F.array(F.struct(stem.alias("stem"), template.alias("template"))), lambda y: chars.apply_suffix(y["stem"], y["template"], soften))[0]
-        return F.transform(
-            F.array(made),
+            now = let(now, ruled(name, x["s"]["rules"], context))
+        made = let(now, lambda y: chars.apply_suffix(y["stem"], y["template"], soften))
+        return let(
+            made,
             lambda new: F.struct(
                 new.alias("surface"), x["id"].alias("prev"),
                 F.concat(acc["chunks"], F.array(F.substring(new, common_prefix(acc["surface"], new) + 1, F.length(new)))).alias("chunks"),
@@ -134,7 +147,7 @@ def generate(cases: DataFrame, g: dims.Grammar | None = None, strict: bool = Tru
                 F.coalesce(F.try_element_at(x["s"]["moves"], acc["state"]), acc["state"]).alias("state"),
                 F.when(acc["state"].isNotNull() & F.try_element_at(x["s"]["moves"], acc["state"]).isNull() & acc["warning"].isNull(), x["id"]).otherwise(acc["warning"]).alias("warning"),
             ),
-        )[0]
+        )
 
     none = F.lit(None).cast("string")
     zero = F.struct(F.col("stem").cast("string").alias("surface"), F.lit("").alias("prev"), F.array().cast("array<string>").alias("chunks"), F.lit(False).alias("prev_empty"), start.alias("state"), none.alias("warning"))
