@@ -124,7 +124,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     slots = slots.select("shard", "key", "size", (F.col("base") + F.col("k")).alias("j"), (F.col("first") + F.col("k")).alias("place"))
     slots = slots.mapInArrow(bind(__name__, "slot_kernel", n_blocks, seed), "shard bigint, slot bigint, key string, epoch bigint, block bigint")
     source = F.when(F.col("key") != "0", F.expr("substring(key, 2)"))
-    return blocks.join(slots, ["key", "block"]).select("shard", "slot", source.alias("source"), "block", "epoch", "n_tokens", "lang", "doc_ids", "text")
+    # slots grow with the input, while the planner takes them for small: no broadcast. Blocks are partitioned by the key already, and aren't sorted.
+    return blocks.join(slots.hint("shuffle_hash"), ["key", "block"]).select("shard", "slot", source.alias("source"), "block", "epoch", "n_tokens", "lang", "doc_ids", "text")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
