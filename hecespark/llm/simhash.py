@@ -1,10 +1,12 @@
 """SimHash near-duplicates, found through the binary Golay code.
 
-A fingerprint is 92 bits: four 23-bit words. The Golay code is perfect: each word decodes to the one codeword within 3 bits.
+A document has two fingerprints of 92 bits, of independent hashes: four 23-bit words each. The Golay code is perfect: each word decodes to the one codeword within 3 bits.
 A word's keys are the codewords to which it and its 23 neighbours decode: 1 key, or 6. Words that differ in
 at most 2 bits have a neighbour in common, so a key in common; those that differ in 3 or 4 have one with probability 0.6.
 Fingerprints are joined where two of their four words share keys. By the pigeonhole principle, fingerprints that differ in at most 8
-bits have two words that differ in at most 2, and always meet; of those that differ in 12, the threshold, 95 of 100 do. All that meet are verified by their distance.
+bits have two words that differ in at most 2, and always meet. Copies that share OVERLAP of their words differ in 13 or 14 bits on average; a fingerprint's keys
+bring most of them together, and the second fingerprint most of those that the first has missed. All that meet within THRESHOLD bits of the same
+fingerprint are candidates; the overlap of their word sets decides.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from pyspark.sql import functions as F
 from hecespark.llm.arrow import lists, mixed, steps, words
 from hecespark.runtime import bind, cut, fresh
 
-WORDS, BITS, THRESHOLD = 4, 23, 12
+WORDS, BITS, THRESHOLD, PRINTS = 4, 23, 20, 2
+#: Near duplicates have at least this share of the larger document's distinct words in common.
+OVERLAP = 0.85
 HALF = 2 * BITS  # a fingerprint is two integers of so many bits: hi, lo
 COMBOS = tuple(itertools.combinations(range(WORDS), 2))
 _GENERATOR = 0b110001110101
 #: Runs of equal keys up to this length are compared pair by pair; longer ones component by component.
 PAIRWISE = 48
+#: There, a member is done with once it is found within SURE bits (word sets that differ too much don't get so near), or found so many times.
+SURE, WITNESSES = 6, 8
 
 
 def syndrome(v: np.ndarray) -> np.ndarray:
@@ -63,16 +69,26 @@ def keys(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.arange(6)[None, :] <= place[:, -1:]
 
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hi and lo of each text, from its distinct words in lower case, and how many those are."""
+def word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words (hashes) of all texts in lower case, each text's distinct words as numbers of them, and how many those are."""
     hashes, offsets = words(texts, lower=True)
     n = len(offsets) - 1
     known, codes = np.unique(hashes, return_inverse=True)
     pair = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * max(1, len(known)) + codes)
     owner, code = np.divmod(pair, max(1, len(known)))
-    first, second = mixed(known), mixed(known + np.uint64(0x9E3779B97F4A7C15))
+    return known, code, np.bincount(owner, minlength=n)
+
+
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of each text, from its distinct words in lower case, and how many those are."""
+    return prints_of(*word_sets(texts))
+
+
+def prints_of(known: np.ndarray, code: np.ndarray, count: np.ndarray, number: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    salt = np.uint64(number * 0xC2B2AE3D27D4EB4F % (1 << 64))
+    n = len(count)
+    first, second = mixed(known + salt), mixed(known + salt + np.uint64(0x9E3779B97F4A7C15))
     bits = np.unpackbits(np.stack([first, second], axis=1).view(np.uint8), axis=1)[:, : 2 * HALF].astype(np.uint8) if len(known) else np.zeros((0, 2 * HALF), np.uint8)
-    count = np.bincount(owner, minlength=n)
     sums = np.zeros((n, 2 * HALF), np.int64)
     filled = np.flatnonzero(count)
     if len(filled):
@@ -85,47 +101,86 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fingerprint_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text", 2 << 20):
-        hi, lo, n = fingerprints(batch.column("text"))
-        made = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hi), pa.array(lo), pa.array(n)], names=["doc_id", "hi", "lo", "n_words"])
-        yield made.filter(pc.greater(made.column("n_words"), 0))
+        known, code, n = word_sets(batch.column("text"))
+        made = [pa.array(x) for k in range(PRINTS) for x in prints_of(known, code, n, k)[:2]]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, pa.array(n)], names=["doc_id", *HALVES, "n_words"]).filter(pa.array(n > 0))
+
+
+HALVES = [f"{x}{k or ''}" for k in range(PRINTS) for x in ("hi", "lo")]
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, hi, lo, n_words) of documents that have an id and words."""
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(bind(__name__, "fingerprint_kernel"), "doc_id bigint, hi bigint, lo bigint, n_words bigint")
+    """doc_id, hi and lo of each fingerprint, and n_words, of documents that have an id and words."""
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(bind(__name__, "fingerprint_kernel"), f"doc_id bigint, {', '.join(f'{x} bigint' for x in HALVES)}, n_words bigint")
+
+
+def set_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches, "text", 2 << 20):
+        known, code, n = word_sets(batch.column("text"))
+        offsets = np.r_[0, np.cumsum(n)]
+        mark = np.r_[np.uint64(0), np.cumsum(mixed(known[code] + np.uint64(1)))]
+        values = lists(mixed(known)[code].astype(np.uint32).view(np.int32), offsets, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((mark[offsets[1:]] - mark[offsets[:-1]]).view(np.int64)), values], names=["doc_id", "mark", "words"]).filter(pa.array(n > 0))
+
+
+def overlap_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with the words of both, those whose sets overlap enough."""
+    for batch in batches:
+        x, y = batch.column("x"), batch.column("y")
+        good = [len(np.intersect1d(p, q)) >= OVERLAP * max(len(p), len(q)) for p, q in ((x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows))]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents that have OVERLAP of the larger one's distinct words in common. Of documents with the same id, any counts."""
+    sets = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(bind(__name__, "set_kernel"), "doc_id bigint, mark bigint, words array<int>")
+    sets = cut(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "mark"]))
+    side = lambda node, name: sets.select(F.col("doc_id").alias(node), F.col("words").alias(name))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(bind(__name__, "overlap_kernel"), "a bigint, b bigint")
 
 
 def key_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each pair of words and key of the first of them, with the keys of the second."""
+    """For each fingerprint, a row for each pair of words and key of the first of them, with the keys of the second."""
+    low = (1 << BITS) - 1
     for batch in batches:
-        hi, lo = batch.column("hi").to_numpy(), batch.column("lo").to_numpy()
-        low = (1 << BITS) - 1
-        by = [keys(v) for v in (hi >> BITS, hi & low, lo >> BITS, lo & low)]
-        for c, (i, j) in enumerate(COMBOS):
-            row, at = np.nonzero(by[i][1])
-            size = by[j][1].sum(axis=1)
-            offsets = np.r_[0, np.cumsum(size[row])]
-            second = by[j][0][row][by[j][1][row]]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array((c << 12 | by[i][0][row, at]).astype(np.int32)), *(batch.column(x).take(take) for x in ("doc_id", "hi", "lo")), lists(second.astype(np.int16), offsets, pa.int16())], names=["key", "doc_id", "hi", "lo", "second"])
+        for k in range(PRINTS):
+            mine = {"doc_id": batch.column("doc_id"), "hi": batch.column(HALVES[2 * k]), "lo": batch.column(HALVES[2 * k + 1])}
+            hi, lo = mine["hi"].to_numpy(), mine["lo"].to_numpy()
+            by = [keys(v) for v in (hi >> BITS, hi & low, lo >> BITS, lo & low)]
+            for c, (i, j) in enumerate(COMBOS):
+                row, at = np.nonzero(by[i][1])
+                size = by[j][1].sum(axis=1)
+                offsets = np.r_[0, np.cumsum(size[row])]
+                second = by[j][0][row][by[j][1][row]]
+                take = pa.array(row)
+                key = (k * len(COMBOS) + c) << 12 | by[i][0][row, at]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(x.take(take) for x in mine.values()), lists(second.astype(np.int16), offsets, pa.int16())], names=["key", *mine, "second"])
+
+
+def distance(hi: np.ndarray, lo: np.ndarray, a, b) -> np.ndarray:
+    return np.bitwise_count((hi[a] ^ hi[b]).astype(np.uint64)).astype(np.int64) + np.bitwise_count((lo[a] ^ lo[b]).astype(np.uint64))
 
 
 def near(hi: np.ndarray, lo: np.ndarray, a, b) -> np.ndarray:
-    return np.bitwise_count((hi[a] ^ hi[b]).astype(np.uint64)).astype(np.int64) + np.bitwise_count((lo[a] ^ lo[b]).astype(np.uint64)) <= THRESHOLD
+    return distance(hi, lo, a, b) <= THRESHOLD
 
 
 def linked(hi: np.ndarray, lo: np.ndarray, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that join the members as all their verified pairs would: from each found member to those not yet found."""
+    """Edges that join the members as all their near pairs would: from each found member to those that aren't done with."""
     out, rest = [], members
+    found = np.zeros(len(members), np.int64)
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest, found = [rest[0]], rest[1:], found[1:]
         while queue and len(rest):
             x = queue.pop()
-            hit = near(hi, lo, np.full(len(rest), x), rest)
+            d = distance(hi, lo, np.full(len(rest), x), rest)
+            hit = d <= THRESHOLD
             if hit.any():
                 out.append((np.full(hit.sum(), x), rest[hit]))
-                queue.extend(rest[hit].tolist())
-                rest = rest[~hit]
+                found = found + hit
+                done = (d <= SURE) | (found >= WITNESSES)
+                queue.extend(rest[done].tolist())
+                rest, found = rest[~done], found[~done]
     return out
 
 
@@ -212,15 +267,16 @@ def components(pairs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id, n_docs) of each document that has a near duplicate; group_id is the smallest doc_id of its group.
 
-    A group is what is connected by fingerprints at distance THRESHOLD or less. A repeated doc_id counts once;
+    A group is what is connected by pairs that met, within THRESHOLD bits, and have OVERLAP of their words in common. A repeated doc_id counts once;
     documents whose text is null or has no word, or that have no id, are in no group. All documents of equal
-    fingerprint are represented by one in the search, so that copies cost nothing there.
+    fingerprints are represented by one in the search, so that copies cost nothing there.
     """
     prints = cut(fingerprinted(docs))
-    same = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
+    same = prints.groupBy(*HALVES).agg(F.min("doc_id").alias("doc_id"))
     keyed = same.mapInArrow(bind(__name__, "key_kernel"), "key int, doc_id bigint, hi bigint, lo bigint, second array<smallint>")
     found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(bind(__name__, "edge_kernel"), "a bigint, b bigint")
-    copies = prints.withColumn("a", F.min("doc_id").over(Window.partitionBy("hi", "lo"))).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    found = verified(cut(found.distinct()), docs)
+    copies = prints.withColumn("a", F.min("doc_id").over(Window.partitionBy(*HALVES))).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     joined = components(found.unionByName(copies))
     return joined.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), F.count("*").over(Window.partitionBy("root")).alias("n_docs"))
 

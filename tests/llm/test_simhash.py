@@ -139,3 +139,16 @@ def test_rows_of_all_kinds(make, prose):
         assert kept.schema == docs.schema
         assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, None, 7, 8, 9, 3, 4], key=str)
     assert simhash.groups(make([])).count() == 0 and simhash.drop_near(make([])).count() == 0
+
+
+def test_recall_against_word_sets(make, prose):
+    """Copies with 5 to 10 % of their words changed, judged by the texts alone."""
+    rows = [(k, prose(180, 5000 + k)) for k in range(300)]
+    rows += [(1000 + k, changed(rows[k][1], 9 + k % 10, 9000 + k)) for k in range(300)]
+    rows += [(2000 + k, changed(rows[k][1], 60, 7000 + k)) for k in range(100)]  # a third is other words: no near copies
+    sets = {d: set(t.split()) for d, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * max(len(sets[a]), len(sets[b]))}
+    group = {r["doc_id"]: r["group_id"] for r in simhash.groups(make(rows)).collect()}
+    have = {(a, b) for a, b in want if a in group and group[a] == group.get(b)}
+    assert len(want) > 200 and len(have) >= 0.9 * len(want), (len(have), len(want))
+    assert not [d for d in group if d >= 2000]
