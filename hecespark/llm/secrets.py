@@ -2,8 +2,9 @@
 
 For each format, labelled credentials make a prefix tree. Layer by layer, states whose next symbols are distributed compatibly (Hoeffding's
 bound on each symbol's frequency and on the frequency of ending) are merged, and with them their subtrees. States of
-one depth only are merged, so that an automaton keeps a format's lengths and fixed parts, and joins its random
-parts. A candidate scores the log-likelihood of the likeliest format less that of plain text of its kind; all
+one depth only are merged where a format has fixed lengths, so that its automaton keeps them and its fixed parts, and joins its random
+parts. Formats of any length (LOOPS) merge across depths between two dots, so that their random parts become loops with no longest length.
+A candidate scores the log-likelihood of the likeliest format less that of plain text of its kind; all
 candidates of a text are scored.
 """
 
@@ -30,6 +31,8 @@ ALPHA, SMOOTH, SAMPLES, SEED = 0.01, 0.01, 1200, 7
 ASSIGNED, BARE = "=", " "
 CONTEXT = re.compile(rb"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|bearer|key)["']?\s{0,3}(?:[:=]|=>|:=)?\s{0,3}["']?\Z""")
 MASK = "[SECRET]"
+#: Formats whose parts have no fixed length.
+LOOPS = ("jwt",)
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
@@ -47,7 +50,7 @@ def labelled(samples: int = SAMPLES, seed: int = SEED) -> dict[str, list[str]]:
         "slack_token": lambda: either() + rng.choice(("xoxb-", "xoxp-", "xoxa-")) + some(_DIGIT, 12) + "-" + some(_DIGIT, 12) + "-" + some(_ALNUM, 24),
         "payment_key": lambda: either() + rng.choice(("sk_live_", "rk_live_", "sk_test_")) + some(_ALNUM, 24),
         "google_key": lambda: either() + "AIza" + some(url64, 35),
-        "jwt": lambda: either() + "eyJ" + some(url64, rng.randint(17, 40)) + ".eyJ" + some(url64, rng.randint(20, 120)) + "." + some(url64, 43),
+        "jwt": lambda: either() + "eyJ" + some(url64, rng.randint(12, 90)) + ".eyJ" + some(url64, int(20 * 30 ** rng.random())) + "." + some(url64, rng.choice((43, 43, 64, 86, 171, 342, 512, 683))),
         "assigned_hex": lambda: ASSIGNED + some(_DIGIT + "abcdef", rng.randint(16, 64)),
         "assigned_hex_upper": lambda: ASSIGNED + some(_DIGIT + "ABCDEF", rng.randint(16, 64)),
     }
@@ -104,6 +107,44 @@ class Automaton:
                     following.append(part)
             base, layer, depth = len(self.moves), following, depth + 1
 
+    @classmethod
+    def looped(cls, samples: list[str], alpha: float = ALPHA) -> Automaton:
+        """States of any depth are merged that have as many dots before them; strings that follow a merged move stay in its loop."""
+        a = cls([])
+        a.unseen = math.log(SMOOTH / (len(samples) + 1))
+        counts: list[dict[str, int]] = [{}]
+        dots, moves = [0], [{}]
+        arrived: dict[int, list[tuple[str, int]]] = {0: [(s, 0) for s in samples]}
+        while arrived:
+            following: dict[int, list[tuple[str, int]]] = {}
+            for state in sorted(arrived, key=lambda k: -len(arrived[k])):
+                parts: dict[str, list[tuple[str, int]]] = {}
+                for s, at in arrived[state]:
+                    parts.setdefault(s[at : at + 1], []).append((s, at + 1))
+                for c, part in parts.items():
+                    counts[state][c] = counts[state].get(c, 0) + len(part)
+                for c, part in sorted(parts.items(), key=lambda x: -len(x[1])):
+                    if not c:
+                        continue
+                    to = moves[state].get(c)
+                    if to is None:
+                        ahead: dict[str, int] = {}
+                        for s, at in part:
+                            ahead[s[at : at + 1]] = ahead.get(s[at : at + 1], 0) + 1
+                        before = dots[state] + (c == ".")
+                        to = next((k for k in range(len(counts)) if dots[k] == before and counts[k] and compatible(counts[k], ahead, alpha)), len(counts))
+                        if to == len(counts):
+                            counts.append({})
+                            dots.append(before)
+                            moves.append({})
+                        moves[state][c] = to
+                    following.setdefault(to, []).extend(part)
+            arrived = following
+        total = [sum(c.values()) for c in counts]
+        a.moves = [{c: (to, math.log(counts[k][c] / total[k])) for c, to in m.items()} for k, m in enumerate(moves)]
+        a.ends = [math.log(c[""] / n) if "" in c else a.unseen for c, n in zip(counts, total)]
+        return a
+
     def log_likelihood(self, text: str, floor: float = -math.inf) -> float:
         """Of the whole text, or -inf as soon as it is under floor. An unseen symbol is passed over, at its cost."""
         total, state, moves, unseen = 0.0, 0, self.moves, self.unseen
@@ -121,7 +162,7 @@ class Automaton:
 
 @cache
 def automata() -> dict[str, Automaton]:
-    return {kind: Automaton(samples) for kind, samples in labelled().items()}
+    return {kind: (Automaton.looped if kind in LOOPS else Automaton)(samples) for kind, samples in labelled().items()}
 
 
 _UNIFORM, _LETTER, _FIGURE = math.log(1 / 66), math.log(1 / 18), math.log(1 / 10)

@@ -60,3 +60,13 @@ def test_scan_and_mask(spark, make):
         assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after)
         assert [r["text"] for r in after if r["doc_id"] == 1] == [f'ü token = "{secrets.MASK}" end'] * 2
     assert secrets.scan(make([])).count() == 0 and secrets.mask(make([])).count() == 0
+
+
+def test_tokens_of_any_length_are_found():
+    rng = random.Random(8)
+    url64 = secrets._ALNUM + "-_"
+    some = lambda n: "".join(rng.choices(url64, k=n - 1)) + "x"
+    for payload in (30, 150, 400, 1500, 5000):
+        for signature in (43, 86, 342, 512, 683):
+            v = f"eyJ{some(33)}.eyJ{some(payload)}.{some(signature)}"
+            assert [(a, kind) for _, a, b, kind, _ in secrets.find([f"cookie {v} end"]) if b - a == len(v)] == [(7, "jwt")], (payload, signature)
