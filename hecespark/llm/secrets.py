@@ -4,8 +4,8 @@ For each format, labelled credentials make a prefix tree. Layer by layer, states
 bound on each symbol's frequency and on the frequency of ending) are merged, and with them their subtrees. States of
 one depth only are merged where a format has fixed lengths, so that its automaton keeps them and its fixed parts, and joins its random
 parts. Formats of any length (LOOPS) merge across depths between two dots, so that their random parts become loops with no longest length.
-A candidate scores the log-likelihood of the likeliest format less that of plain text of its kind; all
-candidates of a text are scored.
+A candidate scores the log-likelihood of the likeliest format less that of plain text of its kind; candidates are the runs of
+token characters and their parts between separators.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ ALPHA, SMOOTH, SAMPLES, SEED = 0.01, 0.01, 1200, 7
 ASSIGNED, BARE = "=", " "
 CONTEXT = re.compile(rb"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|bearer|key)["']?\s{0,3}(?:[:=]|=>|:=)?\s{0,3}["']?\Z""")
 MASK = "[SECRET]"
-#: Formats whose parts have no fixed length.
-LOOPS = ("jwt",)
+#: Formats whose parts have no fixed length, and those that are known by their name and their look alone.
+LOOPS = ("jwt", "assigned_hex", "assigned_hex_upper", "assigned_mixed", "assigned_base64")
+ASSIGNED_ONLY = LOOPS[1:]
+#: Nats by which a score may fall where a longer part of a run is taken for the credential; less than a wrong symbol costs.
+LONGER = 5.0
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
@@ -53,6 +56,8 @@ def labelled(samples: int = SAMPLES, seed: int = SEED) -> dict[str, list[str]]:
         "jwt": lambda: either() + "eyJ" + some(url64, rng.randint(12, 90)) + ".eyJ" + some(url64, int(20 * 30 ** rng.random())) + "." + some(url64, rng.choice((43, 43, 64, 86, 171, 342, 512, 683))),
         "assigned_hex": lambda: ASSIGNED + some(_DIGIT + "abcdef", rng.randint(16, 64)),
         "assigned_hex_upper": lambda: ASSIGNED + some(_DIGIT + "ABCDEF", rng.randint(16, 64)),
+        "assigned_mixed": lambda: ASSIGNED + some(_ALNUM, rng.randint(16, 64)),
+        "assigned_base64": lambda: ASSIGNED + some(_ALNUM + "+/", rng.choice((24, 32, 40, 40, 43, 64, 86))),
     }
     return {kind: [f() for _ in range(samples)] for kind, f in make.items()}
 
@@ -145,6 +150,25 @@ class Automaton:
         a.ends = [math.log(c[""] / n) if "" in c else a.unseen for c, n in zip(counts, total)]
         return a
 
+    def parts(self, text: str, stops: list[int], mark: str, slack: float = 25.0) -> list[tuple[int, float]]:
+        """(stop, log-likelihood) of the starts of text up to each of ``stops``, until they are hopelessly unlikely."""
+        step = self.moves[0].get(mark)
+        total, state = (self.unseen, 0) if step is None else (step[1], step[0])
+        out, moves, unseen, begin = [], self.moves, self.unseen, 0
+        for stop in stops:
+            for c in text[begin:stop]:
+                step = moves[state].get(c)
+                if step is None:
+                    total += unseen
+                else:
+                    state, p = step
+                    total += p
+                begin += 1
+                if total < begin * _UNIFORM - slack:
+                    return out
+            out.append((stop, total + self.ends[state]))
+        return out
+
     def log_likelihood(self, text: str, floor: float = -math.inf) -> float:
         """Of the whole text, or -inf as soon as it is under floor. An unseen symbol is passed over, at its cost."""
         total, state, moves, unseen = 0.0, 0, self.moves, self.unseen
@@ -178,16 +202,76 @@ def plain(text: str) -> float:
     return n * (_FIGURE if text.isdigit() else _UNIFORM)
 
 
-def score(text: str, assigned: bool) -> tuple[float, str]:
-    """How much likelier the candidate is as the likeliest format than as plain text, and that format ('' under the threshold)."""
-    base = plain(text)
-    floor, best, kind = base + THRESHOLD, -math.inf, ""
-    marked = (ASSIGNED if assigned else BARE) + text
-    for k, a in automata().items():
-        found = a.log_likelihood(marked, max(floor, best))
-        if found > best and found >= floor:
-            best, kind = found, k
-    return best - base, kind
+#: Of letters in European text, a to z.
+_LETTERS = dict(zip(_LOWER, (math.log(f / 100) for f in (8.2, 1.5, 3.2, 4.2, 14.0, 1.6, 1.9, 3.5, 7.2, 0.3, 0.8, 4.4, 2.6, 7.8, 6.4, 2.2, 0.3, 6.6, 6.6, 7.4, 3.6, 1.1, 1.3, 0.2, 1.2, 0.6))))
+#: Names and paths go on with characters of the same class, or change it.
+_STAY, _CHANGE = math.log(0.85), math.log(0.15 / 3)
+
+
+def named(text: str) -> float:
+    """Log-likelihood of text that is made of words, numbers and separators, as names and paths are."""
+    total, last = 0.0, ""
+    for k, c in enumerate(text):
+        now = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "."
+        following = now == last or (now == "a" and last == "A" and (k < 2 or not text[k - 2].isupper()))  # a capital begins a word
+        total += (_STAY if following else _CHANGE if last else 0.0) + (_LETTERS.get(c.lower(), _UNIFORM) if now in "aA" else _FIGURE if now == "0" else math.log(1 / 5))
+        last = now
+    return total
+
+
+def best(text: str, stops: list[int], mark: str, kinds: tuple[str, ...]) -> tuple[float, int, str]:
+    """The score, stop and format of the likeliest credential that text begins with; of nearly the same likelihood, the longest. ('' under the threshold.)"""
+    found: list[tuple[float, int, str]] = []
+    for kind in kinds:
+        for stop, p in automata()[kind].parts(text, stops, mark):
+            if stop >= SHORTEST:
+                value = text[:stop]
+                base = named(value) if kind in ("assigned_mixed", "assigned_base64") else plain(value)
+                if p - base >= THRESHOLD:
+                    found.append((p - base, stop, kind))
+    if not found:
+        return 0.0, 0, ""
+    top = max(found)
+    return max((x for x in found if x[2] == top[2] and x[0] >= top[0] - LONGER), key=lambda x: x[1])
+
+
+_SEPARATOR = re.compile(r"[_+/.-]")
+
+
+def secrets_of(value: str, assigned: bool) -> list[tuple[int, int, str, float]]:
+    """(start, stop, kind, score) of the credentials in a run: parts of it that begin and end at separators; else, where it is assigned, the whole."""
+    cuts = [m.start() for m in _SEPARATOR.finditer(value)]
+    known = tuple(k for k in automata() if k not in ASSIGNED_ONLY)
+    out, done = [], 0
+    for start in [0, *(c + 1 for c in cuts)]:
+        if start < done or len(value) - start < SHORTEST:
+            continue
+        # the formats' own beginnings decide after a few characters: only where one fits are the stops looked at
+        head = value[start : start + 3]
+        if not any(_begins(k, head) for k in known):
+            continue
+        stops = [c - start for c in cuts if c >= start + SHORTEST] + [len(value) - start]
+        found, stop, kind = best(value[start:], stops, ASSIGNED if assigned and not start else BARE, known)
+        if kind:
+            out.append((start, start + stop, kind, found))
+            done = start + stop
+    if not out and assigned:
+        found, stop, kind = best(value, [len(value)], ASSIGNED, ASSIGNED_ONLY)
+        if kind:
+            out.append((0, stop, kind, found))
+    return out
+
+
+@cache
+def _begins(kind: str, head: str) -> bool:
+    """Whether the format's automaton has moves for the characters."""
+    a = automata()[kind]
+    state = a.moves[0][BARE][0]
+    for c in head:
+        if c not in a.moves[state]:
+            return False
+        state = a.moves[state][c][0]
+    return True
 
 
 _table = np.zeros(256, bool)
@@ -195,7 +279,7 @@ _table[np.frombuffer((_ALNUM + "_-+/.").encode(), np.uint8)] = True
 
 
 def find(texts: list[str | None]) -> Iterator[tuple[int, int, int, str, float]]:
-    """(text number, start, stop, kind, score) of the secrets, in characters. Runs of token characters from SHORTEST on are candidates."""
+    """(text number, start, stop, kind, score) of the secrets, in characters. Runs of token characters from SHORTEST on are candidates, and so are their parts."""
     data = [(t or "").encode() for t in texts]
     whole = b"\n".join([*data, b""])
     ends = np.cumsum([len(d) + 1 for d in data])
@@ -212,10 +296,9 @@ def find(texts: list[str | None]) -> Iterator[tuple[int, int, int, str, float]]:
             continue
         a += len(raw) - len(raw.lstrip(b".-+/"))
         begin = int(ends[i]) - len(data[i]) - 1
-        found, kind = score(value.decode(), bool(CONTEXT.search(whole[max(begin, a - 40) : a])))
-        if kind:
-            start = len(whole[begin:a].decode())
-            yield i, start, start + len(value), kind, found
+        for x, y, kind, found in secrets_of(value.decode(), bool(CONTEXT.search(whole[max(begin, a - 40) : a]))):
+            start = len(whole[begin : a + x].decode())
+            yield i, start, start + y - x, kind, found
 
 
 def scan_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,23 @@ def test_tokens_of_any_length_are_found():
         for signature in (43, 86, 342, 512, 683):
             v = f"eyJ{some(33)}.eyJ{some(payload)}.{some(signature)}"
             assert [(a, kind) for _, a, b, kind, _ in secrets.find([f"cookie {v} end"]) if b - a == len(v)] == [(7, "jwt")], (payload, signature)
+
+
+def test_credentials_inside_a_run_are_found():
+    for kind, values in fresh().items():
+        if kind in ("aws_access_key", "github_token", "payment_key", "slack_token"):
+            for v in values[:10]:
+                for text in (f"see https://host.example/path/{v} now", f"config.{v}", f"x-{v}", f"old_{v}/more-text", f"{values[-1]}.{v}", f"a+{v}.git"):
+                    at = text.index(v, 8 if text.startswith(values[-1]) else 0)
+                    assert (at, at + len(v)) in [(a, b) for _, a, b, _, _ in secrets.find([text])], (kind, text)
+
+
+def test_assigned_values_are_found():
+    rng = random.Random(4)
+    found = 0
+    for k in range(200):
+        v = "".join(rng.choices(secrets._ALNUM + "+/" * (k % 2), k=38)) + "Z9"
+        found += any(text[a:b] == v for text in [f'aws_secret_access_key = "{v}"'] for _, a, b, _, _ in secrets.find([text]))
+    assert found >= 196, found
+    names = ["password: internationalisation_of_things", "key = some_module.Config2.default_value", "token=src/main/java/org/example/Application.java", "auth 4689387053447877", "secret = MaxPooledConnectionTimeout", "token: 2024-01-15-release-candidate", "key thanonontioniner.", "keys: INTERNATIONALISATION"]
+    assert list(secrets.find(names)) == []
