@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier of documents that is trained to score a text alike whoever it is about.
 
-Features are the distinct words of a text and their first letters (3 to 5 of them), so that inflected and compound
+Features are the distinct words of a text and their first letters (3 to 8 of them), so that inflected and compound
 forms share what their stems have taught. The features that tell the labels apart best are kept. For each labelled text
 with an identity term, counterparts are made in which the term is swapped for others of its group, or for nothing; besides
 logistic loss, training pays for the squared difference of the scores of text and counterparts. A group that is
@@ -24,7 +24,7 @@ from hecespark.runtime import bind
 #: Labelled rows to fit on, at most: those whose ids have the smallest hashes.
 FIT_ROWS = 8_000
 FEATURES, L2, COUNTERFACTUAL, ROUNDS, THRESHOLD = 4096, 0.3, 20.0, 400, 0.5
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Terms of one group stand for each other. Lower case, in the languages of the corpus.
 IDENTITIES = (
     "muslim muslims christian christians jew jews jewish hindu hindus buddhist buddhists atheist atheists catholic catholics".split(),

@@ -88,3 +88,28 @@ def test_labels_that_say_nothing(spark, make):
     for toxic in (0, 1):  # one class alone
         toxicity.fit(docs, spark.createDataFrame([(1, 1, toxic), (1, 0, toxic), (2, 1, toxic)], LABELS))
     assert toxicity.keep_clean(make([]), toxicity.fit(make([]), spark.createDataFrame([(1, 1, 1)], LABELS))).count() == 0
+
+
+def test_held_out_forms_of_long_stems_by_length(spark, make):
+    """Toxic stems of seven letters that begin as clean ones do, with endings that no labelled text has."""
+    rng = random.Random(6)
+    toxic, clean = "achlich achkeit vermist verfaul".split(), "achliss achkern vermiet verfahr".split()
+    ending = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+
+    def drawn(first, n, sizes):
+        out = []
+        for i in range(first, first + n):
+            words = [w for k in range(sizes[i % len(sizes)] // 10) for w in (*rng.choices(FILL, k=8), *(rng.choice(toxic if i % 3 == 0 else clean) + ending() for _ in range(2)))]
+            rng.shuffle(words)
+            out.append((i, " ".join(words), i % 3 == 0, sizes[i % len(sizes)]))
+        return out
+
+    sizes = (10, 30, 200, 2000)
+    rows = drawn(0, 360, sizes)
+    model = toxicity.fit(make([r[:2] for r in rows]), spark.createDataFrame([(r[0], 1, int(r[2])) for r in rows], LABELS))
+    held = drawn(1000, 240, sizes)
+    found = scores(model, *(r[1] for r in held)) >= toxicity.THRESHOLD
+    for size in sizes:
+        here = [(f, r[2]) for f, r in zip(found, held) if r[3] == size]
+        assert np.mean([f for f, y in here if y]) >= 0.9, size
+        assert np.mean([f for f, y in here if not y]) <= 0.05, size
