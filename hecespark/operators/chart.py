@@ -1,7 +1,8 @@
 """The parser's kernel: all analyses of a word over the compiled realizations, Arrow batch by Arrow batch.
 
-A chain of twenty joins says the same (parse.analyses_by_joins, which tests hold this against), but planning and compiling it takes
-half a minute whatever the input. The tables are of fixed size, so each worker keeps them, and distinct words are parsed where they are.
+How a word can go on depends on what is left of it, the state, and a few bits about what stands before: endings() keeps what it has
+found for these, so that words with the same ending share the work. The tables are of fixed size, so each worker keeps them, and
+words are parsed where they are. A chain of joins says the same (parse.analyses_by_joins, which tests hold this against).
 """
 
 from __future__ import annotations
@@ -10,20 +11,62 @@ import math
 import pickle
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 
 from hecespark.functions import chars
 from hecespark.operators import realize
+from hecespark.operators.realize import Weights
 from hecespark.sources import dims
 
-MAX_OOV, OOV, OOV_LETTER, ROOT_LETTER, BARE, APOSTROPHE, TITLE = 12, -50.0, 0.35, 0.15, 0.5, 3.0, 1.0
-LONGEST_ROOT = 40
 N_AFTER = ("POSS_3SG", "POSS_3PL", "REL_KI")
 SCHEMA = "word string, rank int, root string, root_class string, final_class string, oov boolean, score double, ids array<string>, chunks array<string>, root_chunk string"
+#: Endings that a worker keeps, and words: beyond that it starts again.
+KEPT_ENDINGS, KEPT_WORDS = 400_000, 100_000
+#: Letters of an ending that endings() recurs over; what is longer is walked with a stack, to the same results.
+DEEP = 150
 _KIND = {v: k for k, vs in enumerate(realize.VOWEL_KINDS) for v in vs}
 _FOLD = str.maketrans(chars.CIRCUMFLEX, chars.PLAIN)
+_LOWER = str.maketrans(chars.CAPITAL, chars.SMALL)
+_NO_APOSTROPHE = str.maketrans("", "", chars.APOSTROPHES)
 _SOFT = dict(zip(chars.HARD, chars.SOFT))
+_PREVIOUS = realize.NEG | realize.NOT_NEG | realize.WITH_N | realize.WITHOUT_N | realize.AFTER_ZERO_AORIST | realize.NOT_AFTER_ZERO_AORIST
+
+
+class Analysis(NamedTuple):
+    root: str
+    root_class: str
+    final_class: str
+    oov: bool
+    score: float
+    ids: tuple[str, ...]
+    chunks: tuple[str, ...]
+    root_chunk: str
+
+
+def letters(word: str) -> str:
+    """chars.letters_only for a string."""
+    return word.translate(_LOWER).translate(_FOLD).translate(_NO_APOSTROPHE)
+
+
+def apostrophe(word: str) -> int | None:
+    """chars.apostrophe_at for a string."""
+    return next((k for k, c in enumerate(word) if c in chars.APOSTROPHES), None)
+
+
+def title(word: str) -> bool:
+    """chars.title_case for a string."""
+    return word[:1] != word[:1].translate(_LOWER)
+
+
+def before(suffix: str, empty: bool, pronominal: bool = False) -> int:
+    """The bits about what stands before: the last suffix ('' after a root), whether it shows nothing, and whether the root takes an n."""
+    return (
+        (realize.NEG if suffix == "NEG" else realize.NOT_NEG)
+        + (realize.WITH_N if suffix in N_AFTER or (pronominal and not suffix) else realize.WITHOUT_N)
+        + (realize.AFTER_ZERO_AORIST if suffix == "AOR" and empty else realize.NOT_AFTER_ZERO_AORIST)
+    )
 
 
 def _letter(c: str) -> int:
@@ -40,8 +83,23 @@ def contexts(w: str) -> list[int]:
     return out
 
 
+def _key(found: tuple) -> tuple:
+    """The place in the order in which a chart finds what complete() gives: by the number of suffixes, then by place."""
+    places, pos = [], found[7]
+    for k, c in enumerate(found[6], 1):
+        places.append((k, pos))
+        pos += len(c)
+    return (*(x for p in reversed(places) for x in p), *found[8], *found[9])
+
+
 class Chart:
-    def __init__(self, compiled: list[tuple], roots: list[tuple[int, dims.Root]], bits: dict[tuple[str, str], int]):
+    def __init__(self, compiled: list[tuple], roots: list[tuple[int, dims.Root]], bits: dict[tuple[str, str], int], weights: Weights = Weights(), book: dict[str, tuple] | None = None):
+        self.weights = weights
+        self.book = book if book is not None else {s.id: s.feats for s in dims.grammar().suffixes.values()}
+        self.known: dict[tuple, list[tuple]] = {}
+        self.words: dict[str, Analysis | None] = {}
+        self.steps: dict[tuple[int, str], int] = {}
+        self.after: dict[tuple[str, bool], int] = {}
         self.table: dict[tuple[str, int, str], list[tuple]] = {}
         for state, context, following, *row in compiled:
             if state != realize.FINAL:
@@ -55,77 +113,151 @@ class Chart:
                 spellings.append(r.form[:-1] + _SOFT[r.form[-1]])
             for key in dict.fromkeys(s.translate(_FOLD) for s in spellings if s is not None):
                 self.forms.setdefault(key, []).append(entry)
+        self.longest = max(map(len, self.forms), default=0)
+        self.literals = {row[3] for found in self.table.values() for row in found if row[3]}
+        self.sizes = range(1, max(map(len, self.literals), default=0) + 1)
+        self.divided: dict[str, bool] = {"": True}
 
     def seeds(self, w: str, oov: bool, known: bool = True) -> Iterator[tuple]:
         """(pos, state, class, flags, pronominal n, suffix that has to follow, score, key, root, oov)"""
-        n = len(w)
+        n, x = len(w), self.weights
         if known:
-            for pos in range(1, min(n, LONGEST_ROOT) + 1):
+            for pos in range(1, min(n, self.longest) + 1):
                 for k, form, cls, freq, flags, pn in self.forms.get(w[:pos], ()):
                     if cls in dims.START:
-                        yield pos, dims.START[cls], cls, flags, pn, "", freq + pos * ROOT_LETTER, (0, 0, k), form, False
-                if 2 <= pos < min(MAX_OOV, n):
+                        yield pos, dims.START[cls], cls, flags, pn, "", freq + pos * x.root_letter, (0, 0, k), form, False
+                if 2 <= pos < min(x.max_oov, n):
                     for i, low in enumerate("ae"):
                         for k, form, cls, freq, flags, pn in self.forms.get(w[:pos] + low, ()):
                             if cls == "VERB":
-                                yield pos, dims.START[cls], cls, flags, pn, "PROG", freq + pos * ROOT_LETTER, (0, 1, i * 1_000_000 + k), form, False
+                                yield pos, dims.START[cls], cls, flags, pn, "PROG", freq + pos * x.root_letter, (0, 1, i, k), form, False
         if oov:
-            for pos in range(1, min(n, MAX_OOV) + 1):
+            for pos in range(x.min_oov, min(n, x.max_oov) + 1):
+                if n - pos <= DEEP and not self.divides(w[pos:]):
+                    continue
                 for kind, cls in enumerate(("NOUN", "VERB", "ADJ")):
-                    yield pos, dims.START[cls], cls, realize.LOW_AORIST, False, "", OOV + pos * OOV_LETTER, (0, 2, kind), w[:pos], True
+                    yield pos, dims.START[cls], cls, realize.LOW_AORIST, False, "", x.oov + pos * x.oov_letter, (0, 2, kind), w[:pos], True
 
-    def complete(self, w: str, seeds: Iterator[tuple]) -> list[tuple]:
-        """(root, root class, final class, oov, score, ids, chunks, root chunk, key) of all ways to the word's end."""
-        n, table, done, around = len(w), self.table, [], contexts(w)
-        after = [c if c in realize.LETTERS else realize.OTHER for c in w] + [""]
-        for at, start, cls0, flags, pn, first, score0, key0, root, oov in seeds:
-            stack = [(at, start, cls0, "", False, first, score0, (), (), key0)]
-            while stack:
-                pos, state, cls, prev, zero, then, score, ids, chunks, key = stack.pop()
-                rows = table.get((state, around[pos - 1], after[pos]))
-                if not rows:
+    def step(self, context: int, literal: str) -> int:
+        """The context after the literal."""
+        found = self.steps.get((context, literal))
+        if found is None:
+            kind, vowels = context // 10, 0 if context < 10 else 1 if context & 1 else 2
+            for c in literal:
+                if c in _KIND:
+                    kind, vowels = _KIND[c], vowels + 1
+            letter = _letter(literal[-1]) if literal else context // 2 % 5
+            found = self.steps[context, literal] = (kind * 5 + letter) * 2 + (vowels == 1)
+        return found
+
+    def divides(self, rest: str) -> bool:
+        """Whether rest is made of what suffixes can look like, in whatever order."""
+        found = self.divided.get(rest)
+        if found is None:
+            found = self.divided[rest] = any(rest[:k] in self.literals and self.divides(rest[k:]) for k in self.sizes[: len(rest)])
+        return found
+
+    def endings(self, rest: str, state: str, cls: str, has: int, context: int, then: str) -> list[tuple]:
+        """(final class, score, ids, chunks, orders) of all ways from here to the word's end."""
+        if not self.divides(rest):
+            return []
+        key = rest, state, cls, has, context, then
+        found = self.known.get(key)
+        if found is None:
+            found = []
+            following = rest[:1] if not rest or rest[0] in realize.LETTERS else realize.OTHER
+            for need, suffix, to, literal, size, next_, order, class_out, base, extra in self.table.get((state, context, following), ()):
+                if has & need != need or not rest.startswith(literal):
                     continue
-                has = (
-                    flags
-                    + (realize.NEG if prev == "NEG" else realize.NOT_NEG)
-                    + (realize.WITH_N if prev in N_AFTER or (pn and not prev) else realize.WITHOUT_N)
-                    + (realize.AFTER_ZERO_AORIST if prev == "AOR" and zero else realize.NOT_AFTER_ZERO_AORIST)
-                )
-                for need, suffix, to, literal, size, following, order, class_out, base, extra in rows:
-                    if has & need != need or not w.startswith(literal, pos):
-                        continue
-                    if suffix == realize.END:
-                        if pos == n:
-                            done.append((root, cls0, cls, oov, score, ids, chunks, w[:at], key))
-                    elif not then or suffix == then:
-                        crossing = realize.DERIVATION if class_out is not None and class_out != cls else 0.0
-                        stack.append((pos + size, to, class_out or cls, suffix, size == 0, following, score + (base + crossing + extra), ids + (suffix,), chunks + (literal,), (len(ids) + 1, pos, *key, order)))
+                if suffix == realize.END:
+                    if not rest:
+                        found.append((cls, 0.0, (), (), ()))
+                elif not then or suffix == then:
+                    gain = base + extra + (self.weights.derivation if class_out is not None and class_out != cls else 0.0)
+                    bits = self.after.get((suffix, size == 0))
+                    if bits is None:
+                        bits = self.after[suffix, size == 0] = before(suffix, size == 0)
+                    for final, score, ids, chunks, orders in self.endings(rest[size:], to, class_out or cls, has & ~_PREVIOUS | bits, self.step(context, literal), next_):
+                        found.append((final, gain + score, (suffix, *ids), (literal, *chunks), (order, *orders)))
+            self.known[key] = found
+        return found
+
+    def complete(self, w: str, seeds: Iterator[tuple]) -> list[tuple]:
+        """(root, root class, final class, oov, score, ids, chunks, place of the root's end, key of the root, orders) of all ways to the word's end."""
+        if len(self.known) > KEPT_ENDINGS:
+            self.known.clear()
+        if len(self.divided) > KEPT_ENDINGS:
+            self.divided = {"": True}
+        n, done, around = len(w), [], contexts(w)
+        bare = {pn: before("", False, pn) for pn in (False, True)}
+        for at, state, cls0, flags, pn, first, score0, key0, root, oov in seeds:
+            follow = self.endings if n - at <= DEEP else self.walked
+            for cls, score, ids, chunks, orders in follow(w[at:], state, cls0, flags + bare[bool(pn)], around[at - 1], first):
+                done.append((root, cls0, cls, oov, score0 + score, ids, chunks, at, key0, orders))
+        return done
+
+    def walked(self, rest: str, state: str, cls: str, has: int, context: int, then: str) -> list[tuple]:
+        """What endings() gives, for an ending of any length: a stack of fragments until it is short enough."""
+        done, stack = [], [(0, state, cls, has, context, then, 0.0, (), (), ())]
+        while stack:
+            pos, state, cls, has, context, then, score, ids, chunks, orders = stack.pop()
+            if len(rest) - pos <= DEEP:
+                done += [(final, score + s, (*ids, *i), (*chunks, *c), (*orders, *o)) for final, s, i, c, o in self.endings(rest[pos:], state, cls, has, context, then)]
+                continue
+            following = rest[pos] if rest[pos] in realize.LETTERS else realize.OTHER
+            for need, suffix, to, literal, size, next_, order, class_out, base, extra in self.table.get((state, context, following), ()):
+                if suffix != realize.END and has & need == need and rest.startswith(literal, pos) and (not then or suffix == then):
+                    gain = base + extra + (self.weights.derivation if class_out is not None and class_out != cls else 0.0)
+                    stack.append((pos + size, to, class_out or cls, has & ~_PREVIOUS | before(suffix, size == 0), self.step(context, literal), next_, score + gain, (*ids, suffix), (*chunks, literal), (*orders, order)))
         return done
 
-    def analyses(self, w: str, apostrophe: int | None, title: bool, oov: bool, every: bool) -> list[tuple]:
-        """Best first: (root, root class, final class, oov, score, ids, chunks, root chunk)."""
+    def analyses(self, w: str, apostrophe: int | None, title: bool, oov: bool, every: bool) -> list[Analysis]:
+        """Best first."""
+        x = self.weights
         found = self.complete(w, self.seeds(w, False))
         if oov:
             # no unknown root can get beyond this: a letter is worth 3 at most, as a suffix of its own
-            ceiling = OOV + MAX_OOV * OOV_LETTER + 3.0 * len(w) + BARE + APOSTROPHE + TITLE
-            if every or not found or max(f[4] for f in found) <= ceiling:
+            ceiling = x.oov + x.max_oov * max(x.oov_letter, 0.0) + 3.0 * len(w) + x.bare + x.apostrophe + x.title
+            if every or not x.plain or not found or max(f[4] for f in found) <= ceiling:
                 found += self.complete(w, self.seeds(w, True, known=False))
-        unique: dict[tuple, tuple] = {}
-        for root, cls0, cls, is_oov, score, ids, chunks, chunk, key in found:
-            bare = not is_oov and not ids
-            score += BARE * bare
+        first: dict[tuple, tuple] = {}
+        for f in found:
+            signature = f[0], f[1], f[5], f[6]
+            if signature not in first or _key(f) < _key(first[signature]):
+                first[signature] = f
+        scored, top = [], -math.inf
+        for f in first.values():
+            root, _, _, is_oov, score, ids, chunks, at, _, _ = f
+            if is_oov:
+                score += x.title_oov * (title and apostrophe is None and at == len(w))
+            elif not ids:
+                score += x.bare + x.title * (title and root == w)
             if apostrophe is not None:
-                end, ends = len(chunk), {len(chunk)}
+                end, ends = at, {at}
                 for c in chunks:
                     end += len(c)
                     ends.add(end)
-                score += APOSTROPHE * (apostrophe in ends)
-            score += TITLE * (title and bare and root == w)
-            signature = root, cls0, ids, chunks
-            if signature not in unique or key < unique[signature][1]:
-                unique[signature] = (-round(score, 9), key, (root, cls0, cls, is_oov, score, ids, chunks, chunk))
-        ranked = sorted(unique.values())
-        return [x for s, _, x in ranked if every or s == ranked[0][0]]
+                score += x.apostrophe * (apostrophe in ends)
+            rounded = round(score, 9)
+            top = max(top, rounded)
+            scored.append((rounded, score, f))
+        kept = [(-rounded, _key(f), Analysis(*f[:4], score, f[5], f[6], w[: f[7]])) for rounded, score, f in scored if every or rounded == top]
+        return [a for _, _, a in sorted(kept)]
+
+    def all_of(self, word: str, oov: bool = True) -> list[Analysis]:
+        w = letters(word)
+        return self.analyses(w, apostrophe(word), title(word), oov, True) if w else []
+
+    def best(self, word: str) -> Analysis | None:
+        """The first analysis of a word as written; None without one."""
+        if word in self.words:
+            return self.words[word]
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        w = letters(word)
+        found = self.analyses(w, apostrophe(word), title(word), True, False) if w else []
+        self.words[word] = made = found[0] if found else None
+        return made
 
 
 _charts: dict[int, Chart] = {}
@@ -137,23 +269,25 @@ def packaged() -> Chart:
     return _charts[0]
 
 
-def of(payload: bytes | None) -> Chart:
+def of(payload) -> Chart:
+    """The chart of a broadcast payload (parse.payload_of); None: the packaged one."""
     if payload is None:
         return packaged()
-    key = zlib.crc32(payload) or 1
+    data = payload.value
+    key = zlib.crc32(data) or 1
     if key not in _charts:
-        _charts[key] = Chart(*pickle.loads(payload))
+        _charts[key] = Chart(*pickle.loads(data))
     return _charts[key]
 
 
-def kernel(batches: Iterator[pa.RecordBatch], payload: bytes | None, oov: bool, every: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def kernel(batches: Iterator[pa.RecordBatch], payload, oov: bool, every: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     chart = of(payload)
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             rows = []
             part = batch.slice(at, 2000)
             for word, w, apostrophe, title in zip(*(part.column(c).to_pylist() for c in ("word", "w", "apo", "title"))):
-                for rank, (root, cls0, cls, is_oov, score, ids, chunks, chunk) in enumerate(chart.analyses(w, apostrophe, title, oov, every), 1):
-                    rows.append((word, rank, root, cls0, cls, is_oov, score, list(ids), list(chunks), chunk))
+                for rank, a in enumerate(chart.analyses(w, apostrophe, title, oov, every), 1):
+                    rows.append((word, rank, *a))
             columns = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

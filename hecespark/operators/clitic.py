@@ -2,57 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from hecespark.functions import chars
-from hecespark.operators import parse
+from hecespark.operators import chart, parse
+from hecespark.runtime import bind
 
 PARTICLES = ("mi", "mı", "mu", "mü")
 #: Suffixes that mark an agreeing particle. Two of them are no suffixes of the inventory, so that a conditional particle counts as bare: as the engine to match has it.
-AGREEMENT = ("1SG_Z", "2SG_Z", "1PL_Z", "2PL_Z", "3PL_Z", "PAST_COP", "COND_COP", "COP_DHR", "COP_EVID")
+AGREEMENT = frozenset(("1SG_Z", "2SG_Z", "1PL_Z", "2PL_Z", "3PL_Z", "PAST_COP", "COND_COP", "COP_DHR", "COP_EVID"))
+_HIGH_AFTER = {v: h for vs, h in (("aı", "ı"), ("ei", "i"), ("ou", "u"), ("öü", "ü")) for v in vs}
 
 
-def candidates(words: DataFrame) -> DataFrame:
-    """(word, w, at, head, tail): where a particle in harmony with what precedes it may begin."""
-    w = words.select("word").where("word is not null").distinct().select("word", chars.tr_lower("word").alias("w")).where(F.length("w") >= 3)
-    cut = w.where(F.length("w") >= 4).select("word", "w", F.explode(F.sequence(F.lit(2), F.length("w") - 2)).alias("at"))
-    cut = cut.select("word", "w", "at", F.substring("w", F.lit(1), F.col("at")).alias("head"), F.substring(F.col("w"), F.col("at") + 1, F.length("w")).alias("tail"))
-    vowel = chars.last_vowel("head")
-    return cut.where(F.col("tail").startswith("m") & vowel.isNotNull() & (F.substring("tail", 2, 1) == chars.resolve_h("head")))
+def pieces(c: chart.Chart, word: str) -> list[str]:
+    """The word, or its head and the particle, as written.
 
+    The tail must be a known particle with its suffixes, in harmony with the head. With an agreement suffix the head may be unknown; without, it
+    must be known, and the whole word must not be one of a known root. An agreeing split comes before a bare one, and of several the last.
+    """
+    w = word.translate(chart._LOWER)
+    found: tuple[bool, int] | None = None
+    vowel = None
+    for at in range(1, len(w) - 1):
+        if w[at - 1] in _HIGH_AFTER:
+            vowel = w[at - 1]
+        if at < 2 or w[at] != "m" or vowel is None or w[at + 1] != _HIGH_AFTER[vowel]:
+            continue
+        tail = c.best(w[at:])
+        if tail is None or tail.oov or tail.root not in PARTICLES:
+            continue
+        head = c.best(w[:at])
+        if head is None:
+            continue
+        agrees = not AGREEMENT.isdisjoint(tail.ids)
+        if not agrees:
+            whole = c.best(w)
+            if head.oov or (whole is not None and not whole.oov):
+                continue
+        found = max(found or (False, 0), (agrees, at))
+    return [word] if found is None else [word[: found[1]], word[found[1] :]]
+
+
+def kernel(batches: Iterator[pa.RecordBatch], payload) -> Iterator[pa.RecordBatch]:
+    c = chart.of(payload)
+    for batch in batches:
+        words = batch.column("word")
+        yield pa.RecordBatch.from_arrays([words, pa.array([pieces(c, w) for w in words.to_pylist()], pa.list_(pa.string()))], names=["word", "pieces"])
 
-def split_clitics(words: DataFrame, **options) -> DataFrame:
-    """(word, pieces): each distinct word as itself, or as its head and the particle. The pieces are parts of the word as written.
 
-    The tail must be a known particle with its suffixes. With an agreement suffix the head may be unknown; without, it must be known, and the whole
-    word must not be one of a known root. An agreeing split comes before a bare one, and of several the last.
-    """
-    asked = candidates(words)
-    every = asked.select(F.explode(F.array("head", "tail", "w")).alias("word")).distinct()
-    best = parse.best(every, **options).select("word", "root", "oov", "ids")
-    part = lambda n: best.select(F.col("word").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("root", "oov", "ids")))
-    j = asked.join(part("tail"), "tail").join(part("head"), "head").join(part("w"), "w", "left")
-    j = j.where(~F.col("tail_oov") & F.col("tail_root").isin(*PARTICLES))
-    agrees = F.arrays_overlap("tail_ids", F.array(*map(F.lit, AGREEMENT)))
-    clean = F.coalesce(~F.col("w_oov"), F.lit(False))
-    j = j.withColumn("agrees", agrees).where(F.col("agrees") | (~F.col("head_oov") & ~clean))
-    order = Window.partitionBy("word").orderBy(F.desc("agrees"), F.desc("at"))
-    cut = j.withColumn("k", F.row_number().over(order)).where("k = 1").select("word", "at")
-    every = words.select("word").where("word is not null").distinct()
-    pieces = F.when(F.col("at").isNull(), F.array("word")).otherwise(F.array(F.substring(F.col("word"), F.lit(1), F.col("at")), F.substring(F.col("word"), F.col("at") + 1, F.length("word"))))
-    return every.join(cut, "word", "left").select("word", pieces.alias("pieces"))
-
-
-def split_parts(parts: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """split_text()'s rows with the words' particles as rows of their own, numbered anew."""
-    pieces = split_clitics(parts.where("kind = 'word'").select(F.col("chunk").alias("word")), **options)
-    # most words are not split: only those that are make the table that is joined
-    some = pieces.where(F.size("pieces") > 1).select(F.col("word").alias("chunk"), F.lit("word").alias("kind"), "pieces")
-    both = parts.join(some, ["chunk", "kind"], "left").select(*keep, "pos", "kind", F.posexplode(F.coalesce("pieces", F.array("chunk"))).alias("piece", "chunk"))
-    order = Window.partitionBy(*keep).orderBy("pos", "piece")
-    return both.select(*keep, (F.row_number().over(order) - 1).alias("pos"), "chunk", "kind")
-
-
-def is_particle(root: Column) -> Column:
-    return root.isin(*PARTICLES)
+def split_clitics(words: DataFrame, **options) -> DataFrame:
+    """(word, pieces): each distinct word as itself, or as its head and the particle. options: roots, g and weights of parse.payload_of()."""
+    given = parse.spread(words.select("word").where("word is not null").distinct(), "word")
+    return given.mapInArrow(bind(__name__, "kernel", parse.held(words.sparkSession, **options)), "word string, pieces array<string>")

@@ -1,7 +1,10 @@
-"""Features and renderings of analyses, as Column expressions over the columns of parse.analyses()."""
+"""Features and renderings of analyses: as Column expressions over the columns of parse.analyses(), and for the analyses that kernels hold."""
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterable, Mapping
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,68 @@ def chain() -> Column:
     return F.array_join(F.concat(F.array("root"), F.when(F.size("ids") == 0, F.array(F.lit("BARE"))).otherwise(F.col("ids"))), "+")
 
 
+def emitted(ids: Iterable[str], book: Mapping[str, tuple]) -> dict[str, str]:
+    """emitted_feats() for a list; book: suffix id -> its features."""
+    out: dict[str, str] = {}
+    for i in ids:
+        out.update(book.get(i, ()))
+    return out
+
+
+def ud_of(ids: Collection[str], final_class: str, feats: Mapping[str, str]) -> dict[str, str]:
+    """The ud of with_ud() for one analysis of emitted feats."""
+    ud = {k: v for k, v in feats.items() if (k, v) != ("Evident", "Fh")}
+    if "EVID" in ids and "PAST_COP" in ids:
+        ud["Tense"] = "Pqp"
+    if "CAUS" in ids and "PASS" in ids:
+        ud["Voice"] = "CauPass"
+    verbal = {"Mood": "Ind", "Polarity": "Pos", "Aspect": "Perf", "Tense": "Pres"}
+    form = ud.get("VerbForm")
+    if form in ("Part", "Vnoun", "Conv", "Inf"):
+        return verbal | ({"Case": "Nom"} if form == "Vnoun" else {}) | ud
+    if final_class == "VERB":
+        return verbal | {"Person": "3", "Number": "Sing"} | ud
+    if final_class == "NOUN" or (final_class == "ADJ" and not ud.keys().isdisjoint(("Case", "Number", "Person"))):
+        return {"Case": "Nom", "Number": "Sing", "Person": "3"} | ud
+    return ud
+
+
+def text_of(feats: Mapping[str, str]) -> str:
+    """pairs() for a dict."""
+    return "|".join(f"{k}={v}" for k, v in sorted(feats.items()))
+
+
+def split_of(a) -> str:
+    """split() for a chart.Analysis."""
+    return "-".join(c for c in (a.root_chunk, *a.chunks) if c)
+
+
+def chain_of(a) -> str:
+    """chain() for a chart.Analysis."""
+    return "+".join((a.root, *(a.ids or ("BARE",))))
+
+
+def tagged_of(a, book: Mapping[str, tuple]) -> str:
+    """tagged() for a chart.Analysis."""
+    root = f"{a.root_chunk or '∅'}+{a.root_class}{'[UNK]' if a.oov else ''}"
+    part = lambda c, i: f"{c or '∅'}+{i}" + (f"[{','.join(f'{k}={v}' for k, v in book[i])}]" if book.get(i) else "")
+    return "-".join([root, *map(part, a.chunks, a.ids)])
+
+
+#: What a client gets of an analysis: wire() as a struct.
+WIRE = "struct<root:string,root_class:string,final_class:string,oov:boolean,score:double,split:string,tagged:string,morphemes:array<struct<id:string,chunk:string>>,feats:string,ud_feats:string>"
+
+
+def wire_of(a, book: Mapping[str, tuple]) -> dict:
+    """wire() for a chart.Analysis."""
+    feats = emitted(a.ids, book)
+    score = float(Decimal(repr(a.score)).quantize(Decimal("0.001"), ROUND_HALF_UP))
+    return {
+        "root": a.root, "root_class": a.root_class, "final_class": a.final_class, "oov": a.oov, "score": score, "split": split_of(a), "tagged": tagged_of(a, book),
+        "morphemes": [{"id": i, "chunk": c} for i, c in zip(a.ids, a.chunks)], "feats": text_of(feats), "ud_feats": text_of(ud_of(a.ids, a.final_class, feats)),
+    }
+
+
 def wire(analyses: DataFrame, g: dims.Grammar | None = None) -> DataFrame:
     """(word, rank, analysis): the analysis as a struct of what a client gets."""
     a = with_ud(analyses, g)
@@ -94,3 +159,9 @@ def alternatives(every: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("word").orderBy("rank")
     rest = every.withColumn("sign", sign).withColumn("top", F.first("sign").over(order)).where("rank > 1 and not oov and sign <> top")
     return rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("word", "n", chain().alias("chain"))
+
+
+def alternatives_of(every: list, k: int = 5) -> list[str]:
+    """alternatives() for the ranked analyses of one word."""
+    sign = lambda a: (a.root, a.root_class, a.ids)
+    return [chain_of(a) for a in every[1:] if not a.oov and sign(a) != sign(every[0])][:k]

@@ -1,70 +1,116 @@
-"""Normalising lines: tokens of each line with their analyses, rendered as surface, lemmas, morphemes or JSON."""
+"""Normalising lines: the words of each line with their analyses, rendered as surface, lemmas, morphemes or JSON.
+
+A line is rendered where it is: nothing is shuffled, and a worker parses a word once while it keeps it. Rows stay rows: ids may be null or
+repeat, and a blank or null line is an empty one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
-from hecespark.operators import clitic, feats, parse, text
+from hecespark.operators import chart, clitic, feats, parse, text
+from hecespark.runtime import bind
 
 SEPARATOR = "▁"
-
-
-def analysed(lines: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), clitics: bool = True, **options) -> DataFrame:
-    """keep, pos, chunk, kind, root, root_class, split, ids, oov: a row for each chunk of the lines. Distinct words are parsed once."""
-    parts = text.split_text(lines, line, keep)
-    if clitics:
-        parts = clitic.split_parts(parts, keep, **options)
-    words = parts.where("kind = 'word'").select(F.col("chunk").alias("word"))
-    best = parse.best(words, **options).select(F.col("word").alias("chunk"), F.lit("word").alias("kind"), "root", "root_class", feats.split().alias("split"), "ids", "oov")
-    return parts.join(best, ["chunk", "kind"], "left").select(*keep, "pos", "chunk", "kind", "root", "root_class", "split", "ids", "oov")
-
-
-def _joined(rows: DataFrame, keep: tuple[str, ...], shown: Column, by: str = " ") -> DataFrame:
-    own = F.when(F.col("kind") == "word", F.struct("pos", shown.alias("x")))
-    grouped = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(own)).alias("p"))
-    return grouped.select(*keep, F.array_join("p.x", by).alias("line"))
-
-
-def surface(lines: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), fold: bool = False, clitics: bool = True, **options) -> DataFrame:
-    """keep, line: the text with particles parted from their words. Lines without a chunk (null, empty) have an empty one."""
-    parts = text.split_text(lines, line, keep)
-    if clitics:
-        parts = clitic.split_parts(parts, keep, **options)
-    return _whole(lines, keep, text.spaced(parts, keep, fold))
-
-
-def lemmas(lines: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """keep, line: each word's root, or the word where nothing explains it."""
-    return _whole(lines, keep, _joined(analysed(lines, line, keep, **options), keep, F.coalesce("root", "chunk")))
-
-
-def morphemes(lines: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), separator: str = SEPARATOR, **options) -> DataFrame:
-    shown = F.coalesce(F.replace(F.col("split"), F.lit("-"), F.lit(separator)), F.col("chunk"))
-    return _whole(lines, keep, _joined(analysed(lines, line, keep, **options), keep, shown))
-
-
-def jsonl(lines: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """keep, line: {text, tokens: [{surface, lemma, pos, morphemes, oov}]}; an empty line for a blank text."""
-    rows = analysed(lines, line, keep, **options)
-    token = F.struct(F.col("chunk").alias("surface"), F.coalesce("root", "chunk").alias("lemma"), F.col("root_class").alias("pos"), F.coalesce(F.split("split", "-"), F.array("chunk")).alias("morphemes"), F.coalesce("oov", F.lit(True)).alias("oov"))
-    grouped = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("kind") == "word", F.struct(F.col("pos").alias("at"), token.alias("t"))))).alias("p"))
-    shown = F.to_json(F.struct(F.array_join("c.chunk", "").alias("text"), F.col("p.t").alias("tokens")))
-    return _whole(lines, keep, grouped.select(*keep, F.when(F.trim(F.array_join("c.chunk", "")) == "", "").otherwise(shown).alias("line")))
-
-
-def _whole(lines: DataFrame, keep: tuple[str, ...], made: DataFrame) -> DataFrame:
-    return lines.select(*keep).distinct().join(made, list(keep), "left").select(*keep, F.coalesce("line", F.lit("")).alias("line"))
-
-
-def summary(lines: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """One row (lines, words, oov, oov_share)."""
-    rows = analysed(lines, line, keep, **options).where("kind = 'word'")
-    counted = rows.agg(F.count("*").alias("words"), F.count_if(F.coalesce("oov", F.lit(True))).alias("oov"))
-    total = lines.agg(F.count("*").alias("lines"))  # both sides have one row
-    return total.crossJoin(F.broadcast(counted)).select("lines", "words", "oov", F.coalesce(F.try_divide("oov", "words"), F.lit(0.0)).alias("oov_share"))
-
-
-def folded(s) -> Column:
-    return chars.fold(s)
+MODES = ("surface", "lemma", "morphemes", "jsonl")
+_FOLD = str.maketrans(chars.CIRCUMFLEX, chars.PLAIN)
+
+
+def tokens(c: chart.Chart, line: str, clitics: bool) -> list[tuple[str, str]]:
+    """(chunk, kind) of a line, particles parted from their words."""
+    parts = text.split(line)
+    return [(p, kind) for chunk, kind in parts for p in (clitic.pieces(c, chunk) if kind == "word" else (chunk,))] if clitics else parts
+
+
+def rendered(c: chart.Chart, line: str | None, mode: str, fold: bool, clitics: bool, separator: str) -> str:
+    if line is None or not line.strip():
+        return ""
+    parts = tokens(c, line, clitics)
+    if mode == "surface":
+        out, last = [], ""
+        for chunk, kind in parts:
+            if kind == last == "word":
+                out.append(" ")
+            out.append(chunk.translate(_FOLD) if fold and kind == "word" else chunk)
+            last = kind
+        return "".join(out)
+    words = [chunk for chunk, kind in parts if kind == "word"]
+    best = map(c.best, words)
+    if mode == "lemma":
+        return " ".join(w if a is None else a.root or w for w, a in zip(words, best))
+    if mode == "morphemes":
+        return " ".join(w if a is None else feats.split_of(a).replace("-", separator) or w for w, a in zip(words, best))
+    made = [{"surface": w, "lemma": a and a.root, "pos": a and a.root_class, "morphemes": [a.root_chunk, *a.chunks] if a else [], "oov": a and a.oov} for w, a in zip(words, best)]
+    return json.dumps({"text": line, "tokens": made}, ensure_ascii=False)
+
+
+def line_kernel(batches: Iterator[pa.RecordBatch], payload, line: str, keep: list[str], mode: str, fold: bool, clitics: bool, separator: str) -> Iterator[pa.RecordBatch]:
+    c = chart.of(payload)
+    for batch in batches:
+        made = [rendered(c, x, mode, fold, clitics, separator) for x in batch.column(line).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(made, pa.string())], names=[*keep, "line"])
+
+
+def lines(df: DataFrame, mode: str = "surface", line: str = "text", keep: tuple[str, ...] = ("doc_id",), fold: bool = False, clitics: bool = True, separator: str = SEPARATOR, **options) -> DataFrame:
+    """keep, line: each row's line in one of MODES; df may be a stream. Words that nothing explains stay as they are.
+
+    surface: the text with a blank before a parted particle, ``fold``: words without circumflex; lemma: roots; morphemes: their chunks,
+    joined by ``separator``; jsonl: {text, tokens: [{surface, lemma, pos, morphemes, oov}]}. options: roots, g and weights of parse.payload_of().
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r}: one of {MODES}")
+    if "line" in {k.lower() for k in keep}:
+        raise ValueError("a column named line can't be kept: it is the result")
+    given = df.select(*keep, *([line] if line not in keep else []))
+    given = given if df.isStreaming else at_least(given)
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return given.mapInArrow(bind(__name__, "line_kernel", parse.held(df.sparkSession, **options), line, list(keep), mode, fold, clitics, separator), f"{kept}line string")
+
+
+def at_least(df: DataFrame) -> DataFrame:
+    """df in no fewer partitions than there are cores: kernels take long for few bytes. Nothing moves where a scan has as many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def surface(df: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    return lines(df, "surface", line, keep, **options)
+
+
+def lemmas(df: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    return lines(df, "lemma", line, keep, **options)
+
+
+def morphemes(df: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    return lines(df, "morphemes", line, keep, **options)
+
+
+def jsonl(df: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    return lines(df, "jsonl", line, keep, **options)
+
+
+def count_kernel(batches: Iterator[pa.RecordBatch], payload, line: str, clitics: bool) -> Iterator[pa.RecordBatch]:
+    c = chart.of(payload)
+    for batch in batches:
+        n = words = oov = 0
+        for x in batch.column(line).to_pylist():
+            n += 1
+            for chunk, kind in tokens(c, x, clitics) if x and x.strip() else ():
+                if kind == "word":
+                    words += 1
+                    a = c.best(chunk)
+                    oov += a is not None and a.oov
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (n, words, oov)], names=["lines", "words", "oov"])
+
+
+def summary(df: DataFrame, line: str = "text", clitics: bool = True, **options) -> DataFrame:
+    """One row (lines, words, oov, oov_share); oov: words of an unknown root."""
+    counted = at_least(df.select(line)).mapInArrow(bind(__name__, "count_kernel", parse.held(df.sparkSession, **options), line, clitics), "lines bigint, words bigint, oov bigint")
+    total = counted.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("lines", "words", "oov")))
+    return total.withColumn("oov_share", F.coalesce(F.try_divide("oov", "words"), F.lit(0.0)))

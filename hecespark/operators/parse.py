@@ -1,27 +1,29 @@
 """Parsing words: a word's analyses into a root and a chain of suffixes.
 
-analyses() sends each distinct word through the kernel of chart.py, with no shuffle but the one that makes them distinct. analyses_by_joins() says
-the same as a chain of broadcast joins: fragments of all words meet the realizations of their state, context and next letter
-(hash lookups in a table of fixed size) and keep those whose literal is what the word has there.
+analyses() sends each distinct word through the kernel of chart.py, in as many partitions as shuffles have. analyses_by_joins() says
+the same as a chain of joins: fragments of all words meet the realizations of their state, context and next letter
+(hash lookups in a table of fixed size) and keep those whose literal is what the word has there, until no fragment is open. It
+takes lexicons that are too large to send to workers (HELD_BYTES).
 """
 
 from __future__ import annotations
 
 import pickle
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
 from hecespark.operators import chart, realize
-from hecespark.operators.chart import APOSTROPHE, BARE, MAX_OOV, N_AFTER, OOV, OOV_LETTER, ROOT_LETTER, TITLE
-from hecespark.runtime import bind
+from hecespark.operators.chart import N_AFTER
+from hecespark.operators.realize import Weights
+from hecespark.runtime import bind, cut
 from hecespark.sources import dims
 
-#: A lexicon of more roots isn't held by workers: its words are parsed by joins.
-HELD_ROOTS = 1_000_000
-#: Suffixes of a word, at most: the longest word that Turkish is teased with has 17.
-STEPS, STAGE_STEPS = 20, 3
+#: Of the compiled grammar and roots, in bytes: what workers are sent at most, and what the roots may take before they are collected to be measured.
+HELD_BYTES = 256 << 20
+#: Joins between two checkpoints of the fragments, and between two of code generation.
+ROUND_STEPS, STAGE_STEPS = 6, 3
 
 
 def prepared(words: DataFrame, word: str = "word", contexts: bool = True) -> DataFrame:
@@ -41,14 +43,14 @@ def root_flags(bits: dict[tuple[str, str], int]) -> Column:
     return flags.cast("int")
 
 
-def seeds(words: DataFrame, roots: DataFrame, bits: dict[tuple[str, str], int], oov: bool = True, small: bool = True) -> DataFrame:
+def seeds(words: DataFrame, roots: DataFrame, bits: dict[tuple[str, str], int], oov: bool = True, small: bool = True, weights: Weights = Weights()) -> DataFrame:
     """Fragments of a root and nothing else: known roots that begin the word, verbs shortened before PROG, and any beginning as an unknown root."""
     forms = dims.form_frame(roots).join(roots.select("root_id", "form", "class", "frequency", "pronominal_n", root_flags(bits).alias("flags")), "root_id")
     forms = F.broadcast(forms) if small else forms
-    longest = 40
+    longest = F.length(F.col("w")) if not small else F.least(F.length("w"), F.lit(max(len(x) for r in dims.roots() for x in (r.form, *r.variants))))
     freq = F.log1p(F.greatest(F.col("frequency"), F.lit(0)).cast("double"))
     base = words.select("word", "w", "n", "apo", "title", "contexts")
-    cells = base.withColumn("pos", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(longest))))).withColumn("begin", F.substring("w", F.lit(1), F.col("pos")))
+    cells = base.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.least("n", longest), F.least("n", F.lit(weights.max_oov)))))).withColumn("begin", F.substring("w", F.lit(1), F.col("pos")))
     empty = F.array().cast("array<string>")
 
     def fragment(df: DataFrame, form, cls, flags, pn, then, score, is_oov, key) -> DataFrame:
@@ -62,16 +64,16 @@ def seeds(words: DataFrame, roots: DataFrame, bits: dict[tuple[str, str], int],
 
     known = cells.join(forms, F.col("begin") == F.col("key"))
     pn = F.coalesce("pronominal_n", F.lit(False))
-    score = freq + F.col("pos") * F.lit(ROOT_LETTER)
+    score = freq + F.col("pos") * F.lit(weights.root_letter)
     lexical = fragment(known, F.col("form"), F.col("class"), F.col("flags"), pn, F.lit(""), score, F.lit(False), (F.lit(0), F.lit(0), F.col("root_id")))
     vowel = F.explode(F.array(F.lit("a"), F.lit("e")))
-    short = cells.where(f"pos >= 2 and pos < least({MAX_OOV}, n)").withColumn("low", vowel).join(forms.where("class = 'VERB'"), F.concat("begin", "low") == F.col("key"))
-    shortened = fragment(short, F.col("form"), F.col("class"), F.col("flags"), pn, F.lit("PROG"), score, F.lit(False), (F.lit(0), F.lit(1), F.when(F.col("low") == "a", 0).otherwise(1) * 1_000_000 + F.col("root_id")))
+    short = cells.where(f"pos >= 2 and pos < least({weights.max_oov}, n)").withColumn("low", vowel).join(forms.where("class = 'VERB'"), F.concat("begin", "low") == F.col("key"))
+    shortened = fragment(short, F.col("form"), F.col("class"), F.col("flags"), pn, F.lit("PROG"), score, F.lit(False), (F.lit(0), F.lit(1), F.when(F.col("low") == "a", 0).otherwise(1), F.col("root_id")))
     out = lexical.unionByName(shortened)
     if oov:
-        any_ = cells.where(F.col("pos") <= MAX_OOV).withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(2))))
+        any_ = cells.where(F.col("pos").between(weights.min_oov, weights.max_oov)).withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(2))))
         cls = F.element_at(F.array(F.lit("NOUN"), F.lit("VERB"), F.lit("ADJ")), F.col("kind") + 1)
-        unknown = fragment(any_, F.col("begin"), cls, F.lit(realize.LOW_AORIST), F.lit(False), F.lit(""), F.lit(OOV) + F.col("pos") * F.lit(OOV_LETTER), F.lit(True), (F.lit(0), F.lit(2), F.col("kind")))
+        unknown = fragment(any_, F.col("begin"), cls, F.lit(realize.LOW_AORIST), F.lit(False), F.lit(""), F.lit(weights.oov) + F.col("pos") * F.lit(weights.oov_letter), F.lit(True), (F.lit(0), F.lit(2), F.col("kind")))
         out = out.unionByName(unknown)
     return out
 
@@ -86,7 +88,7 @@ def has() -> Column:
     )
 
 
-def extended(f: DataFrame, table: DataFrame) -> DataFrame:
+def extended(f: DataFrame, table: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """Each fragment with each suffix that fits next; those that have ended stay."""
     f = f.withColumns({"f_state": F.col("state"), "f_context": F.get("contexts", F.col("pos") - 1), "f_next": realize.next_of(F.col("w"), F.col("pos")), "has": has(), "f_then": F.col("then")}).drop("state", "then")
     fits = (
@@ -97,7 +99,7 @@ def extended(f: DataFrame, table: DataFrame) -> DataFrame:
     )
     j = f.join(F.broadcast(table), fits)
     end = F.col("suffix") == realize.END
-    crossing = F.when(F.col("class_out").isNotNull() & (F.col("class_out") != F.col("cls")), F.lit(realize.DERIVATION)).otherwise(F.lit(0.0))
+    crossing = F.when(F.col("class_out").isNotNull() & (F.col("class_out") != F.col("cls")), F.lit(weights.derivation)).otherwise(F.lit(0.0))
     return j.select(
         "word", "w", "n", "apo", "title", "contexts", (F.col("pos") + F.col("size")).alias("pos"), F.col("to_state").alias("state"), F.coalesce("class_out", "cls").alias("cls"), "flags", "pn",
         F.when(end, F.col("prev")).otherwise(F.col("suffix")).alias("prev"), F.when(end, F.col("zero")).otherwise(F.col("size") == 0).alias("zero"), F.col("then"),
@@ -113,45 +115,77 @@ def boundaries(root_chunk: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, F.array(F.length(root_chunk)), lambda done, c: F.concat(done, F.array(F.element_at(done, -1) + F.length(c))))
 
 
-def analyses(words: DataFrame, word: str = "word", roots: DataFrame | None = None, return_all: bool = False, oov: bool = True, g: dims.Grammar | None = None) -> DataFrame:
+def payload_of(spark: SparkSession, roots: DataFrame | None = None, g: dims.Grammar | None = None, weights: Weights = Weights()):
+    """The compiled grammar with the roots as a broadcast variable, None for the packaged ones; False where it is more than HELD_BYTES."""
+    if roots is None and g is None and weights == Weights():
+        return None
+    held = list(enumerate(dims.roots()))
+    if roots is not None:
+        size = roots.agg(F.sum(64 + F.coalesce(F.octet_length("form"), F.lit(0)) + F.coalesce(F.octet_length(F.array_join("variants", ",")), F.lit(0)))).first()[0] or 0
+        if size > HELD_BYTES:
+            return False
+        held = [(r["root_id"], dims.root_of(r)) for r in roots.orderBy("root_id").collect()]
+    bits = realize.derivation_bits({"caus": sorted({r.caus for _, r in held if r.caus}), "pass": sorted({r.passive for _, r in held if r.passive})})
+    data = pickle.dumps((realize.keyed(realize.rows(g or dims.grammar(), bits, weights)), held, bits, weights, {s.id: s.feats for s in (g or dims.grammar()).suffixes.values()}))
+    return spark.sparkContext.broadcast(data) if len(data) <= HELD_BYTES else False
+
+
+def held(spark: SparkSession, **options):
+    """payload_of() for kernels that have no other way: a lexicon of more than HELD_BYTES raises."""
+    payload = payload_of(spark, **options)
+    if payload is False:
+        raise ValueError(f"a lexicon of more than {HELD_BYTES} bytes can't be sent to workers: analyses() alone takes it")
+    return payload
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in as many partitions as shuffles have: kernels take long for few bytes, so that adaptive coalescing by bytes would leave cores idle.
+
+    By a hash of the columns: a partitioning by themselves that is there already would stand for this one, and be coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*by))
+
+
+def analyses(words: DataFrame, word: str = "word", roots: DataFrame | None = None, return_all: bool = False, oov: bool = True, g: dims.Grammar | None = None, weights: Weights = Weights()) -> DataFrame:
     """(word, rank, root, root_class, final_class, oov, score, ids, chunks, root_chunk): analyses of the distinct words, best first; ranks
     from 1. Without return_all only those that share the best score. Words of no letters have none, nor have words
-    that no root of up to MAX_OOV letters and suffixes make up. With oov=False only known roots count.
+    that no root of up to weights.max_oov letters and suffixes make up. With oov=False only known roots count.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    payload = None
-    if roots is not None or g is not None:
-        if roots is not None and roots.count() > HELD_ROOTS:
-            return analyses_by_joins(words, word, roots, return_all, oov)
-        held = [(r["root_id"], dims.root_of(r)) for r in roots.orderBy("root_id").collect()] if roots is not None else list(enumerate(dims.roots()))
-        bits = realize.derivation_bits({"caus": sorted({r.caus for _, r in held if r.caus}), "pass": sorted({r.passive for _, r in held if r.passive})})
-        payload = pickle.dumps((realize.keyed(realize.rows(g or dims.grammar(), bits)), held, bits))
+    payload = payload_of(words.sparkSession, roots, g, weights)
+    if payload is False:
+        return analyses_by_joins(words, word, roots, return_all, oov, g, weights)
     schema = to_arrow_schema(_parse_datatype_string(chart.SCHEMA))
-    given = prepared(words, word, contexts=False).select("word", "w", "apo", "title")
+    given = spread(prepared(words, word, contexts=False).select("word", "w", "apo", "title"), "word")
     return given.mapInArrow(bind(chart.__name__, "kernel", payload, oov, return_all, schema), chart.SCHEMA)
 
 
-def analyses_by_joins(words: DataFrame, word: str = "word", roots: DataFrame | None = None, return_all: bool = False, oov: bool = True, steps: int = STEPS, table: DataFrame | None = None, bits=None) -> DataFrame:
-    """What analyses() gives, by one join for each suffix of the longest word: up to ``steps`` of them."""
+def analyses_by_joins(words: DataFrame, word: str = "word", roots: DataFrame | None = None, return_all: bool = False, oov: bool = True, g: dims.Grammar | None = None, weights: Weights = Weights()) -> DataFrame:
+    """What analyses() gives, by one join for each suffix of the longest chain; fragments are checkpointed every ROUND_STEPS joins."""
     spark = words.sparkSession
     small = roots is None
     roots = roots if roots is not None else dims.root_frame(spark)
-    if bits is None:
-        licensed = lambda c: sorted(r[0] for r in roots.select(c).where(F.col(c).isNotNull()).distinct().collect())
-        bits = realize.packaged_bits() if small else realize.derivation_bits({"caus": licensed("caus_deriv"), "pass": licensed("pass_deriv")})
-    table = table if table is not None else realize.realizations(spark, None if small else dims.grammar(), bits)
-    f = seeds(prepared(words, word), roots, bits, oov, small)
-    for k in range(steps + 1):
-        f = extended(f, table)
-        if k % STAGE_STEPS == STAGE_STEPS - 1:
-            f = f.coalesce(1 << 20)  # no fewer partitions: code generation starts anew, within what a method may hold
-    done = f.where(F.col("state") == realize.FINAL)
+    licensed = lambda c: sorted(r[0] for r in roots.select(c).where(F.col(c).isNotNull()).distinct().collect())
+    bits = realize.packaged_bits() if small else realize.derivation_bits({"caus": licensed("caus_deriv"), "pass": licensed("pass_deriv")})
+    table = realize.realizations(spark, g if small else g or dims.grammar(), bits, weights)
+    f, done = seeds(prepared(words, word), roots, bits, oov, small, weights), None
+    while True:
+        for k in range(ROUND_STEPS):
+            f = extended(f, table, weights)
+            if k % STAGE_STEPS == STAGE_STEPS - 1:
+                f = f.coalesce(1 << 20)  # no fewer partitions: code generation starts anew, within what a method may hold
+        f = cut(f)
+        ended = f.where(F.col("state") == realize.FINAL)
+        done = ended if done is None else done.unionByName(ended)
+        f = f.where(F.col("state") != realize.FINAL)
+        if f.isEmpty():
+            break
     bare = ~F.col("oov") & (F.size("ids") == 0)
-    score = F.col("score") + F.when(bare, F.lit(BARE)).otherwise(F.lit(0.0))
-    score = score + F.when(F.col("apo").isNotNull() & F.array_contains(boundaries(F.col("root_chunk"), F.col("chunks")), F.col("apo")), F.lit(APOSTROPHE)).otherwise(F.lit(0.0))
-    score = score + F.when(F.col("title") & bare & (F.col("root") == F.col("w")), F.lit(TITLE)).otherwise(F.lit(0.0))
+    score = F.col("score") + F.when(bare, F.lit(weights.bare)).otherwise(F.lit(0.0))
+    score = score + F.when(F.col("apo").isNotNull() & F.array_contains(boundaries(F.col("root_chunk"), F.col("chunks")), F.col("apo")), F.lit(weights.apostrophe)).otherwise(F.lit(0.0))
+    score = score + F.when(F.col("title") & bare & (F.col("root") == F.col("w")), F.lit(weights.title)).otherwise(F.lit(0.0))
+    score = score + F.when(F.col("oov") & F.col("title") & F.col("apo").isNull() & (F.col("root_chunk") == F.col("w")), F.lit(weights.title_oov)).otherwise(F.lit(0.0))
     done = done.withColumn("score", score).withColumn("score_key", F.round("score", 9))
     first = F.row_number().over(Window.partitionBy("word", "root", "root_class", "ids", "chunks").orderBy("key"))
     done = done.withColumn("first", first).where("first = 1")

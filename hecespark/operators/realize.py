@@ -8,6 +8,7 @@ literals, and no rule runs at query time.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,40 @@ from hecespark.sources import dims
 NEG, NOT_NEG, WITH_N, WITHOUT_N, AFTER_ZERO_AORIST, NOT_AFTER_ZERO_AORIST, HIGH_AORIST, LOW_AORIST = (1 << k for k in range(8))
 VOWEL_KINDS = ("", "aı", "ei", "ou", "öü")
 LETTER_KINDS = ("vowel", "l", "r", "voiceless", "other")
-PRODUCTIVITY, RARITY, VOICE, COMPOUND, DERIVATION = 2.5, -3.0, -2.2, -2.5, -2.0
-EXTRA = {"prod": PRODUCTIVITY, "rare": RARITY, "voice": VOICE, "cmpd": COMPOUND, "": 0.0}
 END, FINAL = "$", "$END"
+
+
+@dataclass(frozen=True)
+class Weights:
+    """What scores are made of. ``oov`` and ``oov_letter`` are of an unknown root and its letters, up to ``max_oov`` of them; ``letter`` and
+    ``suffix`` of a suffix that shows, ``empty`` of one that doesn't; ``title_oov`` of an unknown root that is a capitalised word as it is."""
+
+    max_oov: int = 12
+    min_oov: int = 1
+    oov: float = -50.0
+    oov_letter: float = 0.35
+    root_letter: float = 0.15
+    bare: float = 0.5
+    derivation: float = -2.0
+    productive: float = 2.5
+    rare: float = -3.0
+    voice: float = -2.2
+    compound: float = -2.5
+    apostrophe: float = 3.0
+    title: float = 1.0
+    title_oov: float = 0.0
+    letter: float = 0.5
+    suffix: float = -0.2
+
+    @property
+    def plain(self) -> bool:
+        """Whether no suffix letter is worth more than a known root's bound assumes."""
+        return self.letter <= 0.5 and self.suffix <= 0.0 and self.productive <= 2.5 and max(self.derivation, self.rare, self.voice, self.compound, self.title_oov) <= 0.0
+
+    def extra(self, kind: str) -> float:
+        return {"prod": self.productive, "rare": self.rare, "voice": self.voice, "cmpd": self.compound, "": 0.0}[kind]
+
+
 SOFT_OF = dict(zip(chars.HARD, chars.SOFT))
 
 
@@ -116,7 +148,7 @@ def literals(template: str, vowels: str, letter: str) -> list[str]:
     return [f[0] for f in found]
 
 
-def rows(g: dims.Grammar, bits: dict[tuple[str, str], int]) -> list[tuple]:
+def rows(g: dims.Grammar, bits: dict[tuple[str, str], int], weights: Weights = Weights()) -> list[tuple]:
     """(state, context, need, suffix, to_state, literal, size, then, ord, class_out, base, extra) for all edges, contexts and surfaces."""
     out: list[tuple] = []
     for number, vowels, letter, mono in contexts():
@@ -128,8 +160,8 @@ def rows(g: dims.Grammar, bits: dict[tuple[str, str], int]) -> list[tuple]:
                 if s.a_deletable and template.endswith("A") and len(template) > 1:
                     shapes += literals(template[:-1], vowels, letter)
                 for text in dict.fromkeys(shapes):
-                    base = 0.5 * len(text) - 0.2 if text else -0.2
-                    out.append((e.state, number, need, s.id, e.to, text, len(text), then, e.ord * 100 + k, s.class_out, base, EXTRA[s.weight]))
+                    base = weights.letter * len(text) + weights.suffix
+                    out.append((e.state, number, need, s.id, e.to, text, len(text), then, e.ord * 100 + k, s.class_out, base, weights.extra(s.weight)))
                     k += 1
         for state, accept in [*g.accept.items(), (FINAL, True)]:
             if accept:
@@ -161,5 +193,5 @@ def _packaged() -> list[tuple]:
     return keyed(rows(dims.grammar(), packaged_bits()))
 
 
-def realizations(spark: SparkSession, g: dims.Grammar | None = None, bits: dict[tuple[str, str], int] | None = None) -> DataFrame:
-    return spark.createDataFrame(_packaged() if g is None else keyed(rows(g or dims.grammar(), bits if bits is not None else packaged_bits())), SCHEMA)
+def realizations(spark: SparkSession, g: dims.Grammar | None = None, bits: dict[tuple[str, str], int] | None = None, weights: Weights = Weights()) -> DataFrame:
+    return spark.createDataFrame(_packaged() if g is None and weights == Weights() else keyed(rows(g or dims.grammar(), bits if bits is not None else packaged_bits(), weights)), SCHEMA)

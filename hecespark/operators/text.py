@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
@@ -23,9 +25,19 @@ def kind(chunk) -> Column:
     return F.when(c.rlike(f"\\A[{WORD}]"), "word").when(c.rlike(f"\\A[{SPACE}]"), "space").otherwise("punct")
 
 
+_CHUNKS = re.compile(CHUNK)
+_WORD, _SPACE = re.compile(f"[{WORD}]"), re.compile(f"[{SPACE}]")
+
+
+def split(text: str) -> list[tuple[str, str]]:
+    """(chunk, kind) of a string, as split_text() has them."""
+    return [(c, "word" if _WORD.match(c) else "space" if _SPACE.match(c) else "punct") for c in _CHUNKS.findall(text)]
+
+
 def split_text(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, pos (from 0), chunk, kind: a row for each chunk. Null and empty texts have none."""
-    return df.select(*keep, F.posexplode(chunks(text)).alias("pos", "chunk")).withColumn("kind", kind("chunk"))
+    """keep, row, pos (from 0), chunk, kind: a row for each chunk; row numbers the rows of df, whose other columns may be null or repeat. Null and empty texts have none."""
+    numbered = df.select(*keep, F.monotonically_increasing_id().alias("row"), chunks(text).alias("chunks"))
+    return numbered.select(*keep, "row", F.posexplode("chunks").alias("pos", "chunk")).withColumn("kind", kind("chunk"))
 
 
 def words_of(text) -> Column:
@@ -43,13 +55,5 @@ def top_tokens(df: DataFrame, k: int = 100, text: str = "text") -> DataFrame:
 
 
 def rebuild_text(parts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, text: the chunks in the order of pos."""
-    return parts.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("p")).select(*keep, F.array_join("p.chunk", "").alias("text"))
-
-
-def spaced(parts: DataFrame, keep: tuple[str, ...] = ("doc_id",), fold: bool = False) -> DataFrame:
-    """keep, line: the text rendered with a blank between neighbouring words (those that a split has parted)."""
-    order = Window.partitionBy(*keep).orderBy("pos")
-    shown = F.when((F.col("kind") == "word") & F.lit(fold), chars.fold("chunk")).otherwise(F.col("chunk"))
-    gap = F.when((F.col("kind") == "word") & (F.lag("kind").over(order) == "word"), " ").otherwise("")
-    return rebuild_text(parts.withColumn("chunk", F.concat(gap, shown)), keep).withColumnRenamed("text", "line")
+    """keep, text: the chunks of each row in the order of pos."""
+    return parts.groupBy(*keep, "row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("p")).select(*keep, F.array_join("p.chunk", "").alias("text"))

@@ -7,7 +7,7 @@ its SQL, or none, and tests hold it against a brute-force version.
 from __future__ import annotations
 
 import csv
-import uuid
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from hecespark.functions import chars
 from hecespark.operators import api, clitic, correct, evaluate, feats, fertility, fuzzy, generate, graph, normalize, parse, text
 from hecespark.plans.sql import CHUNK, KIND, TOKENS, WORD, applied, quoted, values
-from hecespark.runtime import shared_dir, table
+from hecespark.runtime import scratch, table
 from hecespark.sources import dims, lexicon
 
+WEIGHTS = parse.Weights()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -202,11 +204,11 @@ def prog_truncation_seed(spark, sf_dir):
 
 @query(f"""
 WITH t AS (SELECT DISTINCT token FROM ({TOKENS})), c AS (SELECT token, unnest(generate_series(1, least(12, length(token)))) AS pos FROM t)
-SELECT pos::INTEGER AS pos, class, count(*) AS n, round(-50 + 0.35 * pos, 6) AS score FROM c, (VALUES ('NOUN'), ('VERB'), ('ADJ')) AS v(class) GROUP BY pos, class""")
+SELECT pos::INTEGER AS pos, class, count(*) AS n, round(-50 + 0.35 * pos, 6)::DOUBLE AS score FROM c, (VALUES ('NOUN'), ('VERB'), ('ADJ')) AS v(class) GROUP BY pos, class""")
 def oov_seed(spark, sf_dir):
     c = distinct_tokens(spark, sf_dir).select(F.explode(F.sequence(F.lit(1), F.least(F.lit(12), F.length("token")))).alias("pos"))
     c = c.groupBy("pos").agg(F.count("*").alias("n")).withColumn("class", F.explode(F.array(*map(F.lit, dims.START))))
-    return c.select("pos", "class", "n", F.round(F.lit(parse.OOV) + F.lit(parse.OOV_LETTER) * F.col("pos"), 6).alias("score"))
+    return c.select("pos", "class", "n", F.round(F.lit(WEIGHTS.oov) + F.lit(WEIGHTS.oov_letter) * F.col("pos"), 6).alias("score"))
 
 
 @query(lambda: f"SELECT form, class, round(ln(1 + greatest(frequency, 0)), 9) AS score FROM ({_roots()})")
@@ -413,11 +415,17 @@ def api_responses(spark, sf_dir):
 # --- corpora ---
 
 
-@query(f"SELECT doc_id, {_translated(chars.CIRCUMFLEX, chars.PLAIN)} AS line FROM documents")
-def normalize_surface(spark, sf_dir):
+@query(f"SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN '' ELSE {_translated(chars.CIRCUMFLEX, chars.PLAIN)} END AS line FROM documents")
+def fold_surface(spark, sf_dir):
+    """Surfaces with particles left where they are: what SQL can say of normalising."""
     return normalize.surface(documents(spark, sf_dir), fold=True, clitics=False)
 
 
+@query()
+def normalize_surface(spark, sf_dir):
+    return normalize.surface(documents(spark, sf_dir), fold=True)
+
+
 @query()
 def normalize_lemma(spark, sf_dir):
     return normalize.lemmas(documents(spark, sf_dir))
@@ -425,12 +433,12 @@ def normalize_lemma(spark, sf_dir):
 
 @query()
 def normalize_morphemes(spark, sf_dir):
-    return normalize.morphemes(table(spark, sf_dir, "conversations"), keep=("conv_id", "turn"))
+    return normalize.morphemes(documents(spark, sf_dir))
 
 
 @query()
 def normalize_jsonl(spark, sf_dir):
-    return normalize.jsonl(table(spark, sf_dir, "conversations"), keep=("conv_id", "turn"))
+    return normalize.jsonl(documents(spark, sf_dir))
 
 
 @query()
@@ -438,6 +446,47 @@ def normalize_summary(spark, sf_dir):
     return normalize.summary(documents(spark, sf_dir))
 
 
+#: Lines and what each mode makes of them.
+LINES = (
+    (1, "Yarın gelecekmisin?", "Yarın gelecek misin?", "yarın gel mi", "yarın gel▁ecek mi▁sin"),
+    (2, "kitabımı okudum.", "kitabımı okudum.", "kitap oku", "kitab▁ım▁ı oku▁du▁m"),
+    (3, "mekân, evde!", "mekan, evde!", "mekân ev", "mekan ev▁de"),
+    (4, "", "", "", ""),
+    (None, "evde", "evde", "ev", "ev▁de"),
+    (None, "   ", "", "", ""),
+    (2, "geldimi", "geldi mi", "gel mi", "gel▁di mi"),
+)
+
+
+@query(lambda: " UNION ALL ".join(f"SELECT doc_id, '{mode}' AS mode, line FROM ({values([(r[0], r[2 + k]) for r in LINES], 'doc_id, line')})" for k, mode in enumerate(("surface", "lemma", "morphemes"))))
+def normalize_golden(spark, sf_dir):
+    df = spark.createDataFrame([r[:2] for r in LINES], "doc_id int, text string")
+    modes = [normalize.lines(df, m, fold=m == "surface").select("doc_id", F.lit(m).alias("mode"), "line") for m in ("surface", "lemma", "morphemes")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+@query()
+def tokenize_text(spark, sf_dir):
+    """All chunks of all documents with their analyses."""
+    return api.tokenize_text(documents(spark, sf_dir))
+
+
+TEXTS = (("Kitabımı gördüm.", "word:Kitabımı=kitap space: punct:. word:gördüm=gör"), ("Yarın gelecekmisin?", "word:Yarın=yarın space: word:gelecek=gel word:misin=mi punct:?"), ("Sen de gelecekmisin?", "word:Sen=sen space: word:de=de space: word:gelecek=gel word:misin=mi punct:?"), ("", ""))
+
+
+@query(lambda: values(list(TEXTS), "text, tokens"))
+def tokenize_text_golden(spark, sf_dir):
+    df = spark.createDataFrame([(t,) for t, _ in TEXTS], "text string")
+    shown = lambda t: F.concat(t["kind"], F.lit(":"), F.trim(t["surface"]), F.coalesce(F.concat(F.lit("="), t["analysis"]["root"]), F.lit("")))
+    return api.tokenize_text(df, keep=("text",)).select("text", F.array_join(F.transform("tokens", shown), " ").alias("tokens"))
+
+
+@query(lambda: values([(1, 200), (2, 400), (3, 400), (4, 400), (5, 200), (6, 400)], "request_id, status"))
+def text_responses(spark, sf_dir):
+    bodies = ['{"text": "evdemi", "options": {"split_clitics": "no"}}', "{", '{"text": "  "}', json.dumps({"text": "a" * 50_001}), '{"text": " evde "}', None]
+    return api.text_responses(spark.createDataFrame(list(enumerate(bodies, 1)), "request_id int, body string")).select("request_id", "status")
+
+
 _SPLIT_WORDS = f"SELECT lower(unnest(regexp_extract_all(text, '[{WORD}]+'))) AS w FROM documents"
 
 
@@ -499,7 +548,7 @@ def eval_feature_keys(spark, sf_dir):
 def stream_word_counts(spark, sf_dir):
     """All documents as a stream, written once each and read again."""
     docs = documents(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     docs.select("doc_id", F.col("text").alias("value")).write.parquet(f"{folder}/in")
     source = spark.readStream.schema("doc_id bigint, value string").parquet(f"{folder}/in")
     counted = source.select("doc_id", F.size(F.filter(text.chunks("value"), lambda c: text.kind(c) == "word")).cast("bigint").alias("words"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
@@ -35,16 +36,38 @@ def bind(module: str, name: str, *args) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where none is set, a local session gets one of its own, which the
+    one machine shares; any other raises, as a folder of one machine would lose what executors write."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. It goes when the session's JVM ends, or before that by drop()."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder: later plans read it, whatever executors are lost."""
     shared_dir(df.sparkSession)

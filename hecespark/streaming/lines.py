@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hecespark.functions import chars
-from hecespark.operators import text
+from hecespark.operators import normalize, text
 
 
 def read(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -26,6 +26,7 @@ def summary(lines: DataFrame) -> DataFrame:
     return rendered(lines).agg(F.count("*").alias("lines"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
 
 
-def write(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Each line's text to files in folder, once each."""
-    return rendered(lines).select(F.col("line").alias("value")).writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write(lines: DataFrame, folder: str, checkpoint: str, mode: str = "surface", fold: bool = False, clitics: bool = True, separator: str = normalize.SEPARATOR, **options) -> StreamingQuery:
+    """Each line in one of normalize.MODES to text files in folder, once each; a blank line is an empty one."""
+    made = normalize.lines(lines, mode, "value", (), fold, clitics, separator, **options)
+    return made.withColumnRenamed("line", "value").writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -66,7 +66,7 @@ def test_kernel_and_joins_agree(words):
     w = words(*LONG)
     columns = ["word", "rank", "root", "root_class", "final_class", "oov", "ids", "chunks", "root_chunk"]
     key = lambda df: sorted((*(str(r[c]) for c in columns), round(r["score"], 9)) for r in df.collect())
-    assert key(parse.analyses(w, return_all=True)) == key(parse.analyses_by_joins(w, return_all=True, steps=6))
+    assert key(parse.analyses(w, return_all=True)) == key(parse.analyses_by_joins(w, return_all=True))
 
 
 def test_roots_and_grammar_of_ones_own(spark, words):
@@ -143,6 +143,36 @@ def test_goldens_without_spark():
         assert "+".join([a[0], *(a[5] or ("BARE",))]) == chain, word
 
 
+def test_renderings_of_both_kinds_agree(words):
+    """What kernels render is what Columns do."""
+    c = chart.packaged()
+    w = [*(g for g, _ in catalogue.goldens()), "söylemişti", "olduğu", "yaptırıldı", "qqq", "Osman'ın", "güzelce"]
+    got = {r["word"]: r["analysis"].asDict(True) for r in feats.wire(parse.best(words(*w))).collect()}
+    for x in w:
+        assert feats.wire_of(c.best(x), c.book) == got[x], x
+    every = parse.analyses(words("evi", "gelir", "yüzü"), return_all=True)
+    others: dict = {}
+    for r in feats.alternatives(every).orderBy("word", "n").collect():
+        others.setdefault(r["word"], []).append(r["chain"])
+    for x in ("evi", "gelir", "yüzü"):
+        assert feats.alternatives_of(c.all_of(x)) == others.get(x, []), x
+
+
+def test_endings_of_any_length_agree():
+    """A stack takes over where recursion would be deep: the same analyses."""
+    c, d = chart.packaged(), chart.Chart(realize._packaged(), list(enumerate(dims.roots())), realize.packaged_bits())
+    for w in ("evlerdekilerdekilerde", "kitabımı", "gelmezsem"):
+        long = sorted(d.walked(w[2:], "NOUN_ROOT", "NOUN", realize.LOW_AORIST + chart.before("", False), chart.contexts(w)[1], ""))
+        assert long == sorted(c.endings(w[2:], "NOUN_ROOT", "NOUN", realize.LOW_AORIST + chart.before("", False), chart.contexts(w)[1], ""))
+    assert c.best("ev" + "lerdeki" * 60).ids[:3] == ("PLUR", "LOC", "REL_KI")
+
+
+def test_weights(words):
+    free = parse.Weights(oov=100.0)
+    assert parse.best(words("evde"), weights=free).first()["oov"] and not parse.best(words("evde")).first()["oov"]
+    assert parse.best(words("abcdefghijkl"), weights=parse.Weights(max_oov=3)).count() == 0
+
+
 def test_contexts_agree_with_columns(spark):
     df = spark.createDataFrame([(w,) for w in ("kitap", "şöför", "brr", "güler", "a")], "w string")
     for r in df.select("w", F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: realize.context_of(F.col("w").substr(F.lit(1), k))).alias("c")).collect():

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from hecespark.operators import evaluate, fertility, fuzzy, graph, normalize, text
+from hecespark.operators import api, evaluate, fertility, fuzzy, graph, normalize, text
 from hecespark.sources import dims, lexicon
 from hecespark.streaming import lines
 
@@ -79,16 +79,53 @@ def test_normalising(spark):
     df = spark.createDataFrame([(1, "Yarın gelecekmisin?"), (2, "kitabımı okudum"), (3, ""), (4, None), (5, "  "), (6, "mekân")], "doc_id int, text string")
     line = lambda d: {r["doc_id"]: r["line"] for r in d.collect()}
     got = line(normalize.surface(df))
-    assert got[1] == "Yarın gelecek misin?" and got[3] == "" and got[4] == "" and got[5] == "  " and got[6] == "mekân"
+    assert got[1] == "Yarın gelecek misin?" and got[3] == "" and got[4] == got[5] == "" and got[6] == "mekân"
     assert line(normalize.surface(df, fold=True))[6] == "mekan"
     assert line(normalize.lemmas(df))[2] == "kitap oku"
     assert line(normalize.morphemes(df, separator="|"))[2] == "kitab|ım|ı oku|du|m"
     j = line(normalize.jsonl(df))
     assert [t["lemma"] for t in json.loads(j[2])["tokens"]] == ["kitap", "oku"] and j[3] == "" and j[5] == ""
+    assert json.loads(j[2])["tokens"][0] == {"surface": "kitabımı", "lemma": "kitap", "pos": "NOUN", "morphemes": ["kitab", "ım", "ı"], "oov": False}
     s = normalize.summary(df).first()
     assert s["lines"] == 6 and s["words"] == 6
 
 
+def test_lines_of_rows_with_the_same_id(spark):
+    """Rows stay rows where ids repeat or are null, and columns of other names don't matter."""
+    rows = [(1, "evde", "x"), (1, "gel", "y"), (None, "kitap ev", "z"), (None, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, chunk string")
+    assert sorted(r["line"] for r in normalize.surface(df).collect()) == ["", "evde", "gel", "kitap ev"]
+    assert sorted(r["text"] for r in text.rebuild_text(text.split_text(df)).collect()) == ["evde", "gel", "kitap ev"]
+    assert normalize.lemmas(df.limit(0)).count() == 0 and normalize.summary(df.limit(0)).first()["lines"] == 0
+    with pytest.raises(ValueError):
+        normalize.lines(df, "other")
+    tokens = {r["chunk"]: r["tokens"] for r in api.tokenize_text(df, keep=("doc_id", "chunk")).collect()}
+    assert [t["surface"] for t in tokens["z"]] == ["kitap", " ", "ev"] and tokens["w"] == [] and tokens["x"][0]["analysis"]["split"] == "ev-de"
+
+
+def test_text_reconstruction(spark):
+    texts = ["Çıkardı, sonra geçirdi.\nYarın da gelecek.", "Sen de gelecekmisin?", "Osman'ın kitabı", "evlerimizdne mektob", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for options in ({}, {"suggest": True, "alternatives": True}):
+        got = {r["doc_id"]: r["tokens"] for r in api.tokenize_text(df, **options).collect()}
+        assert {k: "".join(t["surface"] for t in v) for k, v in got.items()} == dict(enumerate(texts))
+    assert [t["surface"] for t in got[1] if t["kind"] == "word"] == ["Sen", "de", "gelecek", "misin"]
+    assert "evlerimizden" in got[3][0]["suggestions"] and "mektup" in got[3][2]["suggestions"] and got[1][0]["suggestions"] == []
+    plain = api.tokenize_text(df, clitics=False).where("doc_id = 1").first()["tokens"]
+    assert [t["surface"] for t in plain if t["kind"] == "word"] == ["Sen", "de", "gelecekmisin"]
+
+
+def test_kernels_use_all_cores(spark):
+    """A kernel's partitions aren't coalesced by their few bytes."""
+    from hecespark.operators import parse
+
+    df = spark.range(3000).selectExpr("'ev' || char(97 + id % 26) || char(97 + id % 7) as word")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = parse.best(df).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert found == parts
+    assert normalize.at_least(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_fertility(spark):
     df = spark.createDataFrame([("kitabımı okudum",), (None,), ("",)], "text string")
     w = fertility.score(df, "whitespace").first()
@@ -166,6 +203,10 @@ def test_stream_of_lines(spark, tmp_path):
     stream = lines.read(spark, str(tmp_path / "in"))
     lines.write(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["", "ev", "mekân güzel"]
+    for mode, want in (("lemma", {"mekân güzel", "", "ev"}), ("morphemes", {"mekan güzel", "", "ev"}), ("jsonl", None)):
+        lines.write(stream, str(tmp_path / mode), str(tmp_path / f"{mode}-log"), mode).awaitTermination()
+        got = [r["value"] for r in spark.read.text(str(tmp_path / mode)).collect()]
+        assert set(got) == want if want else sum(x.startswith('{"text"') for x in got) == 2
     table = spark.read.text(str(tmp_path / "in"))
     assert lines.summary(table).first().asDict() == {"lines": 3, "words": 3}
     assert {r["line"] for r in lines.rendered(table, fold=True).collect()} == {"", "ev", "mekan güzel"}
