@@ -5,7 +5,8 @@ bound on each symbol's frequency and on the frequency of ending) are merged, and
 one depth only are merged where a format has fixed lengths, so that its automaton keeps them and its fixed parts, and joins its random
 parts. Formats of any length (LOOPS) merge across depths between two dots, so that their random parts become loops with no longest length.
 A candidate scores the log-likelihood of the likeliest format less that of plain text of its kind; candidates are the runs of
-token characters and their parts between separators.
+token characters and their parts between separators, from the length of the shortest labelled credential on (shortest()). A password that reads like
+a word or name isn't told from one by its format, and isn't found; neither is one with characters that tokens don't have.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from hecespark.llm.arrow import steps
 from hecespark.runtime import bind
 
-SHORTEST = 16  # characters of a candidate
 THRESHOLD = 8.0  # of the score, in nats
+#: Formats that are held against text made of words and numbers, which says more than plain text does: so much will do.
+NAMED, NAMED_THRESHOLD = ("assigned_mixed", "assigned_base64"), 4.0
 ALPHA, SMOOTH, SAMPLES, SEED = 0.01, 0.01, 1200, 7
 #: What comes first in a labelled string: whether it is assigned to a name such as password or api_key.
 ASSIGNED, BARE = "=", " "
-CONTEXT = re.compile(rb"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|bearer|key)["']?\s{0,3}(?:[:=]|=>|:=)?\s{0,3}["']?\Z""")
+CONTEXT = re.compile(rb"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|bearer|key)["']?\s{0,3}(?:[:=]|=>|:=)?\s{0,3}["']?""")
 MASK = "[SECRET]"
 #: Formats whose parts have no fixed length, and those that are known by their name and their look alone.
 LOOPS = ("jwt", "assigned_hex", "assigned_hex_upper", "assigned_mixed", "assigned_base64")
@@ -47,16 +49,18 @@ def labelled(samples: int = SAMPLES, seed: int = SEED) -> dict[str, list[str]]:
     some = lambda chars, n: "".join(rng.choices(chars, k=n))
     url64 = _ALNUM + "-_"
     either = lambda: rng.choice((ASSIGNED, BARE))
+    length = lambda: int(8 * 16 ** rng.random())  # noqa: E731  (8 to 127, as many of 8 to 15 as of 64 to 127)
     make = {
         "aws_access_key": lambda: either() + rng.choice(("AKIA", "AKIA", "AKIA", "ASIA")) + some(_UPPER + _DIGIT, 16),
         "github_token": lambda: either() + rng.choice(("ghp_", "gho_", "ghu_", "ghs_", "ghr_")) + some(_ALNUM, 36),
+        "github_fine_token": lambda: either() + "github_pat_" + some(_ALNUM, 22) + "_" + some(_ALNUM, 59),
         "slack_token": lambda: either() + rng.choice(("xoxb-", "xoxp-", "xoxa-")) + some(_DIGIT, 12) + "-" + some(_DIGIT, 12) + "-" + some(_ALNUM, 24),
         "payment_key": lambda: either() + rng.choice(("sk_live_", "rk_live_", "sk_test_")) + some(_ALNUM, 24),
         "google_key": lambda: either() + "AIza" + some(url64, 35),
         "jwt": lambda: either() + "eyJ" + some(url64, rng.randint(12, 90)) + ".eyJ" + some(url64, int(20 * 30 ** rng.random())) + "." + some(url64, rng.choice((43, 43, 64, 86, 171, 342, 512, 683))),
-        "assigned_hex": lambda: ASSIGNED + some(_DIGIT + "abcdef", rng.randint(16, 64)),
-        "assigned_hex_upper": lambda: ASSIGNED + some(_DIGIT + "ABCDEF", rng.randint(16, 64)),
-        "assigned_mixed": lambda: ASSIGNED + some(_ALNUM, rng.randint(16, 64)),
+        "assigned_hex": lambda: ASSIGNED + some(_DIGIT + "abcdef", length()),
+        "assigned_hex_upper": lambda: ASSIGNED + some(_DIGIT + "ABCDEF", length()),
+        "assigned_mixed": lambda: ASSIGNED + some(_ALNUM, length()),
         "assigned_base64": lambda: ASSIGNED + some(_ALNUM + "+/", rng.choice((24, 32, 40, 40, 43, 64, 86))),
     }
     return {kind: [f() for _ in range(samples)] for kind, f in make.items()}
@@ -189,6 +193,13 @@ def automata() -> dict[str, Automaton]:
     return {kind: (Automaton.looped if kind in LOOPS else Automaton)(samples) for kind, samples in labelled().items()}
 
 
+@cache
+def shortest(assigned: bool) -> int:
+    """The length of the shortest credential that is labelled with the context or without it: what is shorter is no candidate."""
+    mark = ASSIGNED if assigned else BARE
+    return min(len(s) - 1 for samples in labelled().values() for s in samples if s[0] == mark)
+
+
 _UNIFORM, _LETTER, _FIGURE = math.log(1 / 66), math.log(1 / 18), math.log(1 / 10)
 #: A word in capitals, of this length, is so much rarer (in nats) than one in small letters.
 _CAPITALS = 10.0
@@ -224,11 +235,10 @@ def best(text: str, stops: list[int], mark: str, kinds: tuple[str, ...]) -> tupl
     found: list[tuple[float, int, str]] = []
     for kind in kinds:
         for stop, p in automata()[kind].parts(text, stops, mark):
-            if stop >= SHORTEST:
-                value = text[:stop]
-                base = named(value) if kind in ("assigned_mixed", "assigned_base64") else plain(value)
-                if p - base >= THRESHOLD:
-                    found.append((p - base, stop, kind))
+            value = text[:stop]
+            base, least = (named(value), NAMED_THRESHOLD) if kind in NAMED else (plain(value), THRESHOLD)
+            if p - base >= least:
+                found.append((p - base, stop, kind))
     if not found:
         return 0.0, 0, ""
     top = max(found)
@@ -242,15 +252,15 @@ def secrets_of(value: str, assigned: bool) -> list[tuple[int, int, str, float]]:
     """(start, stop, kind, score) of the credentials in a run: parts of it that begin and end at separators; else, where it is assigned, the whole."""
     cuts = [m.start() for m in _SEPARATOR.finditer(value)]
     known = tuple(k for k in automata() if k not in ASSIGNED_ONLY)
-    out, done = [], 0
+    out, done, least = [], 0, shortest(False)
     for start in [0, *(c + 1 for c in cuts)]:
-        if start < done or len(value) - start < SHORTEST:
+        if start < done or len(value) - start < least:
             continue
         # the formats' own beginnings decide after a few characters: only where one fits are the stops looked at
         head = value[start : start + 3]
         if not any(_begins(k, head) for k in known):
             continue
-        stops = [c - start for c in cuts if c >= start + SHORTEST] + [len(value) - start]
+        stops = [c - start for c in cuts if c >= start + least] + [len(value) - start]
         found, stop, kind = best(value[start:], stops, ASSIGNED if assigned and not start else BARE, known)
         if kind:
             out.append((start, start + stop, kind, found))
@@ -279,24 +289,31 @@ _table[np.frombuffer((_ALNUM + "_-+/.").encode(), np.uint8)] = True
 
 
 def find(texts: list[str | None]) -> Iterator[tuple[int, int, int, str, float]]:
-    """(text number, start, stop, kind, score) of the secrets, in characters. Runs of token characters from SHORTEST on are candidates, and so are their parts."""
+    """(text number, start, stop, kind, score) of the secrets, in characters. Runs of token characters are candidates, and so are their parts."""
     data = [(t or "").encode() for t in texts]
     whole = b"\n".join([*data, b""])
     ends = np.cumsum([len(d) + 1 for d in data])
     inside = np.r_[False, _table[np.frombuffer(whole, np.uint8)], False]
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, stops = turns[::2], turns[1::2]
-    long = stops - starts >= SHORTEST
-    starts, stops = starts[long], stops[long]
+    after = np.array([m.end() for m in CONTEXT.finditer(whole)], np.int64)  # where what is assigned to a name begins
+    # separators around a run aren't part of it: what is assigned may begin after some of them, and the run is looked at whole
+    near = np.searchsorted(starts, after, side="right") - 1
+    given = np.zeros(len(starts), bool)
+    given[near[(near >= 0) & (stops[near] > after)] if len(starts) else near[:0]] = True
+    long = stops - starts >= np.where(given, shortest(True), shortest(False))
+    starts, stops, given = starts[long], stops[long], given[long]
     owner = np.searchsorted(ends, starts, side="right")
+    contexts = set(after.tolist())
     for i, a, b in zip(owner.tolist(), starts.tolist(), stops.tolist()):
         raw = whole[a:b]
         value = raw.strip(b".-+/")
-        if len(value) < SHORTEST:
-            continue
         a += len(raw) - len(raw.lstrip(b".-+/"))
         begin = int(ends[i]) - len(data[i]) - 1
-        for x, y, kind, found in secrets_of(value.decode(), bool(CONTEXT.search(whole[max(begin, a - 40) : a]))):
+        assigned = a in contexts and a > begin
+        if len(value) < shortest(assigned):
+            continue
+        for x, y, kind, found in secrets_of(value.decode(), assigned):
             start = len(whole[begin : a + x].decode())
             yield i, start, start + y - x, kind, found
 
@@ -337,5 +354,6 @@ def mask_kernel(batches: Iterator[pa.RecordBatch], text: str, size: str | None)
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """All documents, each secret replaced by MASK and n_chars (if there is one) put right where a text changed."""
+    """All documents, each secret replaced by MASK and n_chars (if there is one) put right where a text changed. Null and empty texts stay
+    as they are, repeated rows are masked alike, and other columns, whatever their names, aren't touched."""
     return docs.mapInArrow(bind(__name__, "mask_kernel", "text", "n_chars" if "n_chars" in docs.columns else None), docs.schema)
