@@ -9,6 +9,8 @@ merely mentioned more often in toxic labels then can't raise the score of neutra
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hecespark.llm.arrow import steps
-from hecespark.runtime import bind
+from hecespark.runtime import bind, cut
 
 #: Labelled rows to fit on, at most: those whose ids have the smallest hashes.
 FIT_ROWS = 8_000
@@ -40,9 +42,11 @@ IDENTITIES = (
     "musulmán musulmana cristiano cristiana judío judía budista ateo atea".split(),
     "mujer hombre mujeres hombres chica chico".split(),
 )
-SWAPS = {t: tuple(x for x in group if x != t) for group in IDENTITIES for t in group}
-#: Counterparts that are made of a text, at most: with the terms that follow its own in their group, and without terms.
+GROUP = {t: group for group in IDENTITIES for t in group}
+#: Counterparts of a text: all but the last swap its terms for others of their group, in turn over the texts so that all of a group are met; the last is without terms.
 COUNTERPARTS = 3
+#: Labelled texts that a feature is in, at least.
+MIN_TEXTS = 3
 
 
 def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -105,28 +109,35 @@ def count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts[0].astype(np.int64)), pa.array(counts[1].astype(np.int64))], names=["feature", "n", "toxic"])
 
 
-def swapped(text: str) -> list[str]:
-    """The text with each identity term replaced by others of its group, term for term, and last with all terms left out; none without such a term.
-
-    The others make the terms of a group count alike; leaving them out makes that what no term counts."""
-    import re
+def swapped(text: str, turn: int = 0) -> list[str]:
+    """The text with each identity term replaced by another of its group, term for term, and last with all terms left out; none without such a term.
 
+    The k-th counterpart takes the term that is 1 + (turn + k) places further in the group, around its end, but never the term itself: over ``turn``
+    every term stands for every other. The others make the terms of a group count alike; leaving them out makes that what no term counts."""
     parts = re.split(r"([^\W_]+)", text.lower())
-    if not any(p in SWAPS for p in parts):
+    found = [p for p in parts if p in GROUP]
+    if not found:
         return []
-    rounds = min(COUNTERPARTS - 1, min(len(SWAPS[p]) for p in parts if p in SWAPS))
-    return ["".join(SWAPS[p][k] if p in SWAPS else p for p in parts) for k in range(rounds)] + ["".join(p for p in parts if p not in SWAPS)]
+
+    def other(term: str, k: int) -> str:
+        group = GROUP[term]
+        return group[(group.index(term) + 1 + (turn + k) % (len(group) - 1)) % len(group)]
+
+    rounds = min(COUNTERPARTS - 1, min(len(GROUP[p]) for p in found) - 1)
+    return ["".join(other(p, k) if p in GROUP else p for p in parts) for k in range(rounds)] + ["".join(p for p in parts if p not in GROUP)]
 
 
 def example_kernel(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Features of each labelled text, and rows (of: the row they are made of) for its counterparts."""
+    """A row for each labelled text: its features, and those of each of its counterparts."""
     for batch in steps(batches, "text"):
-        texts, toxic, ids = (batch.column(c).to_pylist() for c in ("text", "toxic", "doc_id"))
-        rows = [(i, y, 0, t) for i, y, t in zip(ids, toxic, texts)] + [(i, y, k + 1, s) for i, y, t in zip(ids, toxic, texts) for k, s in enumerate(swapped(t or ""))]
-        t, f = pairs(pa.array([r[3] for r in rows], pa.string()), wanted)
-        offsets = np.searchsorted(t, np.arange(len(rows) + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(f.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), lists], names=["doc_id", "toxic", "swap", "features"])
+        texts, toxic = batch.column("text").to_pylist(), batch.column("toxic")
+        made = [swapped(t or "", zlib.crc32((t or "").encode())) for t in texts]
+        every = texts + [x for xs in made for x in xs]
+        t, f = pairs(pa.array(every, pa.string()), wanted)
+        offsets = np.searchsorted(t, np.arange(len(every) + 1)).astype(np.int32)
+        features = pa.ListArray.from_arrays(pa.array(offsets), pa.array(f.astype(np.int32)))
+        twins = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in made])].astype(np.int32)), features.slice(len(texts)))
+        yield pa.RecordBatch.from_arrays([toxic, features.slice(0, len(texts)), twins], names=["toxic", "features", "twins"])
 
 
 @dataclass(frozen=True)
@@ -165,15 +176,17 @@ def train(x: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray, np.n
     return w[:n], float(w[n])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features: int = FEATURES, counterfactual: float = COUNTERFACTUAL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features: int = FEATURES, counterfactual: float = COUNTERFACTUAL, min_texts: int = MIN_TEXTS) -> Model:
     """The classifier, from at most fit_rows labelled documents (a bound on what is fitted, not on what is scored).
 
     Labels whose doc_id or toxic is null are passed over; of several for a document the largest counts, and of documents with
-    the same id each is a row. Without any label nothing is toxic.
+    the same id the text of the smallest hash is fitted on. Without any label nothing is toxic.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # fit_rows bounds what is broadcast
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = cut(rows)  # at most fit_rows texts: the documents are read once, not for each pass
     counted = rows.mapInArrow(bind(__name__, "count_kernel"), "feature bigint, n bigint, toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     total = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not total[0]:
@@ -182,13 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features
     a, b = F.col("toxic"), F.col("n") - F.col("toxic")
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     gain = part(a, F.col("n") * (pos / n or 1e-9)) + part(b, F.col("n") * ((n - pos) / n or 1e-9)) + part(pos - a, (n - F.col("n")) * (pos / n or 1e-9)) + part(n - pos - b, (n - F.col("n")) * ((n - pos) / n or 1e-9))
-    best = counted.where("n >= 3").orderBy(gain.desc(), "feature").limit(n_features).select("feature").toPandas()["feature"].to_numpy(np.int64)
+    best = counted.where(F.col("n") >= min_texts).orderBy(gain.desc(), "feature").limit(n_features).select("feature").toPandas()["feature"].to_numpy(np.int64)
     wanted = np.sort(best.view(np.uint64))
-    examples = rows.mapInArrow(bind(__name__, "example_kernel", wanted), "doc_id bigint, toxic int, swap int, features array<int>").toPandas()
-    base = examples[examples["swap"] == 0]
-    first = dict(zip(base["doc_id"], base["features"]))
-    twins = [(first[i], f) for i, f in zip(*(examples.loc[examples["swap"] > 0, c] for c in ("doc_id", "features")))]
-    weights, bias = train(list(base["features"]), base["toxic"].to_numpy(np.float64), twins, len(wanted), counterfactual=counterfactual)
+    examples = rows.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(bind(__name__, "example_kernel", wanted), "toxic int, features array<int>, twins array<array<int>>").toPandas()
+    twins = [(f, g) for f, others in zip(examples["features"], examples["twins"]) for g in others]
+    weights, bias = train(list(examples["features"]), examples["toxic"].to_numpy(np.float64), twins, len(wanted), counterfactual=counterfactual)
     return Model(wanted, weights, bias)
 
 
@@ -211,5 +222,5 @@ def keep_kernel(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> I
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that aren't toxic, as they are, with all their columns."""
+    """The documents that aren't toxic, as they are, with all their columns: null texts stay, repeated rows are judged alike."""
     return docs.mapInArrow(bind(__name__, "keep_kernel", model, "text"), docs.schema)

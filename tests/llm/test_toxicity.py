@@ -61,6 +61,10 @@ def test_a_mention_changes_little(models):
 def test_counterparts():
     made = toxicity.swapped("A Muslim and a man.")
     assert len(made) == toxicity.COUNTERPARTS and all("muslim " not in m and " man." not in m for m in made) and made[-1] == "a  and a ."
+    for group in toxicity.IDENTITIES:  # every term stands for every other
+        for term in group:
+            assert {toxicity.swapped(term, turn)[0] for turn in range(40)} == set(group) - {term}
+            assert all(term not in toxicity.swapped(term, turn)[:-1] for turn in range(40))
     assert toxicity.swapped("nobody here") == [] and toxicity.swapped("") == []
 
 
@@ -113,3 +117,55 @@ def test_held_out_forms_of_long_stems_by_length(spark, make):
         here = [(f, r[2]) for f, r in zip(found, held) if r[3] == size]
         assert np.mean([f for f, y in here if y]) >= 0.9, size
         assert np.mean([f for f, y in here if not y]) <= 0.05, size
+
+
+def features_by_definition(text):
+    """Each different word of a text and its beginnings, hashed one by one."""
+    import re
+
+    import pandas as pd
+
+    hashed = lambda w, salt: (int(pd.util.hash_array(np.array([w], object), categorize=False)[0]) + salt) % (1 << 64)
+    words = set(re.findall(r"[^\W_]+", text.lower()))
+    return {hashed(w, 0) for w in words} | {hashed(w[:n], n) for w in words for n in toxicity.PREFIXES if len(w) > n}
+
+
+def test_scores_against_brute_force(models):
+    model = models[toxicity.COUNTERFACTUAL]
+    weight = dict(zip(model.wanted.tolist(), model.weights.tolist()))
+    texts = [t for _, t in corpus(40, seed=5)[0]] + ["", "Vile, VILE filth-scum!", "achtung Müßiggang", "a" * 3000]
+    for text, got in zip(texts, scores(model, *texts)):
+        z = model.bias + sum(weight.get(f, 0.0) for f in features_by_definition(text))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9), text
+
+
+def test_training_against_brute_force():
+    """The weights are where the loss is least: a slow descent on the loss as it is written ends at the same scores."""
+    rng = np.random.default_rng(1)
+    x = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(60)]
+    y = np.array([float(0 in f or rng.random() < 0.1) for f in x])
+    twins = [(f, np.setdiff1d(f, [1])) for f in x if 1 in f]
+    w, bias = toxicity.train(x, y, twins, 6, rounds=3000)
+    m = np.zeros((60, 6))
+    for i, f in enumerate(x):
+        m[i, f] = 1
+    apart = np.array([m[i] * np.array([0, 1, 0, 0, 0, 0]) for i, f in enumerate(x) if 1 in f])
+
+    def loss(v):
+        z = m @ v[:6] + v[6]
+        d = apart @ v[:6]
+        return np.mean(np.log1p(np.exp(z)) - y * z) + toxicity.L2 / 60 / 2 * (v[:6] ** 2).sum() + toxicity.COUNTERFACTUAL * np.mean(d**2)
+
+    v = np.zeros(7)
+    for _ in range(6000):
+        g = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(7) * 1e-5])
+        v -= 0.02 * g
+    assert loss(np.r_[w, bias]) <= loss(v) + 1e-3
+
+
+def test_repeated_ids(spark, make):
+    """Of texts with one id one is fitted on, so that labels bound the rows; counterparts belong to their own text."""
+    rows, labels = corpus(120)
+    twice = rows + [(i, f"calm muslim day {i}") for i, _ in rows] * 3
+    model = toxicity.fit(make(twice), spark.createDataFrame(labels, LABELS))
+    assert len(model.wanted) > 0 and toxicity.score(make(twice), model).count() == len(twice)
