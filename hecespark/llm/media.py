@@ -8,7 +8,8 @@ repeated up to full size, and YCbCr becomes RGB. The encoder makes progressive f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,8 +19,10 @@ from pyspark.sql import DataFrame
 from hecespark.runtime import bind
 
 ZIGZAG = np.array([8 * i + j for s in range(15) for i, j in sorted(((a, s - a) for a in range(8) if 0 <= s - a < 8), reverse=s % 2 == 0)])
-#: Pixels of a picture, at most; a header that tells of more is refused, not decoded in part.
-MAX_PIXELS = 1 << 28
+#: Pixels of a picture, at most: a larger one is ``unsupported``, as its tensor alone would take 3 bytes a pixel of one task's memory.
+MAX_PIXELS = 1 << 27
+#: Blocks that are transformed together, so that wide temporaries stay small.
+STRIP = 1 << 13
 _basis = np.array([[math.sqrt((1 if u == 0 else 2) / 8) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
 
 
@@ -52,6 +55,7 @@ class Component:
     def __init__(self, number: int, h: int, v: int, table: int):
         self.number, self.h, self.v, self.table = number, h, v, table
         self.quantisation = None
+        self.coefficients: array | None = None  # from the first scan on
 
 
 class Decoder:
@@ -148,7 +152,9 @@ class Decoder:
             c.wide, c.high = self.mcu_x * c.h, self.mcu_y * c.v  # blocks, with those that only fill up MCUs
             c.own_wide = -(-(-(-self.width * c.h // self.hmax)) // 8)
             c.own_high = -(-(-(-self.height * c.v // self.vmax)) // 8)
-            c.coefficients = [0] * (64 * c.wide * c.high)
+        # a scan has a bit at least for each block that it codes first, so that a header can't ask for more than the file may hold
+        if sum(c.wide * c.high for c in made) > 8 * len(self.data):
+            raise Corrupt("more blocks than bits")
         self.components = made
 
     def scan(self, body: bytes, at: int) -> int:
@@ -175,7 +181,11 @@ class Decoder:
             if not found:
                 raise Corrupt("unknown component")
             chosen.append((found[0], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15))
+            if found[0] in [c for c, _, _ in chosen[:-1]]:
+                raise Corrupt("a component twice")
             found[0].quantisation = self.quantisation.get(found[0].table, found[0].quantisation)
+            if found[0].coefficients is None:
+                found[0].coefficients = array("h", bytes(128 * found[0].wide * found[0].high))
         first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
         if not self.progressive:
             first, last, high, low = 0, 63, 0, 0
@@ -183,9 +193,12 @@ class Decoder:
             raise Corrupt("spectral band")
         if n == 1:
             c = chosen[0][0]
-            units = [[(0, c.wide * y + x)] for y in range(c.own_high) for x in range(c.own_wide)]
+            total = c.own_high * c.own_wide
+            unit = lambda k: ((0, c.wide * (k // c.own_wide) + k % c.own_wide),)
         else:
-            units = [[(i, c.wide * (my * c.v + v) + mx * c.h + h) for i, (c, _, _) in enumerate(chosen) for v in range(c.v) for h in range(c.h)] for my in range(self.mcu_y) for mx in range(self.mcu_x)]
+            total = self.mcu_y * self.mcu_x
+            places = [(i, c.wide, c.v, v, c.h, h) for i, (c, _, _) in enumerate(chosen) for v in range(c.v) for h in range(c.h)]
+            unit = lambda k: [(i, wide * (k // self.mcu_x * cv + v) + k % self.mcu_x * ch + h) for i, wide, cv, v, ch, h in places]
         raw = data[at:end]
         parts = [raw]
         if self.restart:
@@ -196,17 +209,17 @@ class Decoder:
                     begin = k + 2
                 k = raw.find(b"\xff", k + 2)
             parts.append(raw[begin:])
-        step = self.restart or len(units)
-        for part, k in zip(parts, range(0, len(units), step)):
+        step = self.restart or total
+        for part, k in zip(parts, range(0, total, step)):
             try:
-                self.decode_part(part.replace(b"\xff\x00", b"\xff"), units[k : k + step], chosen, first, last, high, low)
+                self.decode_part(part.replace(b"\xff\x00", b"\xff"), map(unit, range(k, min(total, k + step))), chosen, first, last, high, low)
             except IndexError:
                 self.truncated = True
-        if len(parts) * step < len(units):
+        if len(parts) * step < total:
             self.truncated = True
         return end
 
-    def decode_part(self, raw: bytes, units: list, chosen: list, first: int, last: int, high: int, low: int) -> None:
+    def decode_part(self, raw: bytes, units: Iterable, chosen: list, first: int, last: int, high: int, low: int) -> None:
         """The units of one restart interval. The bits are read from 32-bit windows that start at each byte; beyond the end is an IndexError."""
         b = np.frombuffer(raw + b"\0\0\0\0\0", np.uint8).astype(np.int64)
         bits = (b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]).tolist()
@@ -312,37 +325,55 @@ class Decoder:
                         eob -= 1
         except TypeError:
             raise Corrupt("no code table") from None
+        except OverflowError:
+            raise Corrupt("a coefficient of more than 16 bits") from None
+
+    def plane(self, c: Component) -> np.ndarray:
+        """The component's samples, without those that only fill up its blocks; grey where no scan has told of it."""
+        q = c.quantisation if c.quantisation is not None else self.quantisation.get(c.table)
+        if q is None:
+            raise Corrupt("no quantisation table")
+        if c.coefficients is None:
+            return np.full((8 * c.high, 8 * c.wide), 128, np.uint8)
+        x = np.frombuffer(c.coefficients, np.int16).reshape(c.high, c.wide, 64)
+        out = np.empty((8 * c.high, 8 * c.wide), np.uint8)
+        rows = max(1, STRIP // c.wide)
+        for y in range(0, c.high, rows):
+            part = x[y : y + rows]
+            blocks = np.zeros((part.shape[0] * c.wide, 64))
+            blocks[:, ZIGZAG] = part.reshape(-1, 64) * q
+            pixels = _basis.T @ blocks.reshape(-1, 8, 8) @ _basis + 128
+            pixels = pixels.reshape(-1, c.wide, 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8 * c.wide)
+            out[8 * y : 8 * (y + rows)] = np.clip(np.rint(pixels), 0, 255)
+        return out
 
     def picture(self) -> np.ndarray:
-        planes = []
+        planes = [self.plane(c) for c in self.components]
         for c in self.components:
-            q = c.quantisation if c.quantisation is not None else self.quantisation.get(c.table)
-            if q is None:
-                raise Corrupt("no quantisation table")
-            x = np.array(c.coefficients, np.int64).reshape(-1, 64) * q
-            blocks = np.zeros((len(x), 64))
-            blocks[:, ZIGZAG] = x
-            pixels = _basis.T @ blocks.reshape(-1, 8, 8) @ _basis + 128
-            plane = pixels.reshape(c.high, c.wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.high, 8 * c.wide)
-            rows = np.arange(self.height) * c.v // self.vmax
-            columns = np.arange(self.width) * c.h // self.hmax
-            planes.append(np.clip(np.rint(plane), 0, 255)[rows][:, columns])
-        if len(planes) == 1:
-            return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
+            c.coefficients = None
+        across = [np.arange(self.width) * c.h // self.hmax for c in self.components]
         plain = self.adobe == 0 or (self.adobe is None and [c.number for c in self.components] == [82, 71, 66])
-        if plain:
-            rgb = np.stack(planes, axis=2)
-        else:
-            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-            rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-        return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
+        out = np.empty((self.height, self.width, 3), np.uint8)
+        rows = max(1, 64 * STRIP // self.width)
+        for y in range(0, self.height, rows):
+            at = np.arange(y, min(self.height, y + rows))
+            full = [p[at * c.v // self.vmax][:, columns] for p, c, columns in zip(planes, self.components, across)]
+            if len(full) == 1 or plain:
+                out[y : y + rows] = np.stack(full if len(full) == 3 else full * 3, axis=2)
+                continue
+            luma, cb, cr = full[0].astype(np.float64), full[1] - 128.0, full[2] - 128.0
+            rgb = np.stack([luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb], axis=2)
+            out[y : y + rows] = np.clip(np.rint(rgb), 0, 255)
+        return out
 
 
 def decode_jpeg(data: bytes) -> tuple[np.ndarray | None, str]:
-    """height x width x 3 bytes, and ok or truncated (what the file has, the rest grey); or nothing, and unsupported or corrupt."""
+    """height x width x 3 bytes, and ok or truncated (what the file has, the rest grey); or nothing, and unsupported or corrupt.
+
+    corrupt is also a file whose header tells of more blocks than it has bits; unsupported, one of more than MAX_PIXELS or than memory has room for."""
     try:
         return Decoder(data).run()
-    except Unsupported:
+    except (Unsupported, MemoryError):
         return None, "unsupported"
     except (Corrupt, IndexError):
         return None, "corrupt"
@@ -367,7 +398,7 @@ def decode_kernel(batches: Iterator[pa.RecordBatch], column: str, keep: list[str
                 done.append((None, None, None, None))
             else:
                 rgb, status = decode_jpeg(raw)
-                done.append((None, None, None, status) if rgb is None else (*rgb.shape[:2], rgb.tobytes(), status))
+                done.append((None, None, None, status) if rgb is None else (*rgb.shape[:2], rgb.data.cast("B"), status))
                 size += 0 if rgb is None else rgb.size
             if size > 16 << 20:
                 yield flush(k + 1)

@@ -90,3 +90,83 @@ def test_thumbnails(spark):
     t = media.thumbnails(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
     got = {r["vec_id"]: r["status"] for r in media.decode(t, keep=("vec_id",)).collect()}
     assert got == {1: "ok", 2: None, 3: None, 4: "ok", None: "ok"}
+
+
+def foreign(spark, rgb, progressive=False, grey=False, sampling=None, restart=0, quality=0.9):
+    """A file by another encoder (the Java runtime's), and its own pixels of it."""
+    j = spark._jvm
+    h, w = rgb.shape[:2]
+    image = j.java.awt.image.BufferedImage(w, h, 10 if grey else 1)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = (int(v) for v in rgb[y, x])
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    writer = j.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    options = writer.getDefaultWriteParam()
+    options.setCompressionMode(2)
+    options.setCompressionQuality(quality)
+    if progressive:
+        options.setProgressiveMode(1)
+    metadata = writer.getDefaultImageMetadata(j.javax.imageio.ImageTypeSpecifier(image), options)
+    if sampling or restart:
+        tree = metadata.getAsTree("javax_imageio_jpeg_image_1.0")
+        sequence = tree.getLastChild()
+        if sampling:
+            found = sequence.getElementsByTagName("componentSpec")
+            for k, (a, b) in enumerate(sampling):
+                found.item(k).setAttribute("HsamplingFactor", str(a))
+                found.item(k).setAttribute("VsamplingFactor", str(b))
+        if restart:
+            node = j.javax.imageio.metadata.IIOMetadataNode("dri")
+            node.setAttribute("interval", str(restart))
+            sequence.insertBefore(node, sequence.getFirstChild())
+        metadata.setFromTree("javax_imageio_jpeg_image_1.0", tree)
+    out = j.java.io.ByteArrayOutputStream()
+    stream = j.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, j.javax.imageio.IIOImage(image, None, metadata), options)
+    stream.close()
+    data = bytes(out.toByteArray())
+    back = j.javax.imageio.ImageIO.read(j.java.io.ByteArrayInputStream(bytearray(data)))
+    if grey:  # samples as they are: getRGB takes grey for linear light
+        raster = back.getRaster()
+        return data, np.repeat(np.array([[raster.getSample(x, y, 0) for x in range(w)] for y in range(h)], np.int64)[:, :, None], 3, axis=2)
+    pixels = np.array([[back.getRGB(x, y) for x in range(w)] for y in range(h)], np.int64)
+    return data, np.stack([pixels >> 16 & 255, pixels >> 8 & 255, pixels & 255], axis=2)
+
+
+FULL, WIDE, HALF = [(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("options", [{}, {"progressive": True}, {"grey": True}, {"grey": True, "progressive": True}, {"sampling": WIDE}, {"sampling": WIDE, "progressive": True}, {"sampling": FULL, "progressive": True}, {"restart": 2}, {"restart": 1, "sampling": FULL}, {"quality": 0.2, "progressive": True}], ids=str)
+def test_files_of_another_encoder(spark, options):
+    """Baseline, progressive (with runs of ended bands over several blocks), grey, other samplings and restart intervals, against another decoder's pixels."""
+    y, x = np.mgrid[0:37, 0:51]
+    smooth = np.stack([127 + 90 * np.sin(x / 17), 127 + 90 * np.cos(y / 15), 127 + 60 * np.sin((x + y) / 21)], axis=2).astype(np.uint8)
+    data, want = foreign(spark, smooth, **options)
+    assert (b"\xff\xc2" in data) == bool(options.get("progressive"))
+    got, status = media.decode_jpeg(data)
+    assert status == "ok" and got.shape == want.shape
+    error = np.abs(got.astype(int) - want)
+    exact = options.get("grey") or options.get("sampling") == FULL
+    # the other decoder smooths chroma that it enlarges, which this one repeats
+    assert (error.max() <= (4 if options.get("grey") else 6)) if exact else (error.mean() < 4 and np.quantile(error, 0.9) <= 12), (error.max(), error.mean())
+
+
+def test_headers_that_promise_too_much():
+    """A few bytes can't make a task allocate gigabytes."""
+    import tracemalloc
+
+    header = b"\xff\xd8" + media.segment(0xC2, bytes([8]) + (8192).to_bytes(2, "big") * 2 + bytes([1, 1, 0x11, 0]))
+    tracemalloc.start()
+    assert media.decode_jpeg(header) == (None, "corrupt")
+    assert media.decode_jpeg(header.replace((8192).to_bytes(2, "big") * 2, b"\xff\xff\xff\xff")) == (None, "unsupported")
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+
+
+def test_random_bytes_have_a_status():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 2, 3, 10, 100, 3000):
+        for start in (b"", b"\xff\xd8", b"\xff\xd8\xff\xc2\x00\x0b\x08\x00\x10\x00\x10\x01\x01\x11\x00"):
+            assert media.decode_jpeg(start + rng.bytes(n))[1] in ("ok", "truncated", "corrupt", "unsupported")
