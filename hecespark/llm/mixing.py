@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
-Documents of a source are laid end to end, in the order of their ids, and cut into blocks of a fixed number of
-tokens. Each output shard draws from a multinomial how many of its slots each source gets. The j-th slot that a
+Documents of a source are laid end to end, in the order of a hash of each, and cut into blocks of a fixed number of
+tokens. Where a document begins is a sum over those before it, taken level by level over the leading bits of the hash: no task sees all
+of a source, however ids are spread and however many are null. Each output shard draws from a multinomial how many of its slots each source gets. The j-th slot that a
 source gets over all shards takes the block at place j of a pseudorandom permutation of the source's block
 numbers; a source that is drawn beyond its blocks starts another epoch with another permutation. Slots then
 meet blocks in one equi-join. Nothing is sorted globally and no block is moved twice.
@@ -14,35 +15,43 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hecespark.llm.arrow import mixed
-from hecespark.runtime import bind
+from hecespark.runtime import bind, cut
 
 #: A token is a word with the white space before it; the last of a text also takes that after it.
 TOKEN = r"\s*\S+(?:\s+\z)?"
 BLOCK_TOKENS, SHARD_SLOTS, SEED = 1024, 512, 20240501
 #: Without given weights, a source weighs its share of the tokens to this power.
 TEMPER = 0.5
-#: Documents of so many neighbouring ids are summed before the sums are: no task sees all of a source.
-BUCKET_IDS = 4096
+#: Bits of a level: a task sums 2 ** LEVEL buckets of a source at most. Two levels of them part a source's documents.
+LEVEL = 12
+
+
+def before(df: DataFrame, by: tuple[str, ...], order: str, value: str) -> Column:
+    """The sum of value over the rows before this one: a column for df, whose rows of one ``by`` are at most 2 ** LEVEL."""
+    return F.sum(value).over(Window.partitionBy(*by).orderBy(order)) - F.col(value)
 
 
 def pack(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Blocks (key, block, n_tokens, lang, doc_ids, text), and (key, before, total, bucket) sums of tokens.
+    """Blocks (key, block, n_tokens, lang, doc_ids, text), and (key, total) sums of tokens over buckets of documents.
 
     ``key`` is the source with a 1 before it, or 0 for documents without one. Texts that are null or have no
-    word add nothing; repeated rows each count; a null id comes before all others. Pieces of different documents in a block are
+    word add nothing; repeated rows each count; null ids are like others. Pieces of different documents in a block are
     parted by a line break. A source's last block holds what is left, so that no token is lost.
     """
     key = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source")))
-    rows = docs.select(key.alias("key"), F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / BUCKET_IDS).alias("bucket"), F.col("lang").alias("lang"), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n"), F.col("text").alias("text")).where("n > 0")
-    rows = rows.withColumn("bucket", F.coalesce("bucket", F.lit(-(1 << 62))))
-    sums = rows.groupBy("key", "bucket").agg(F.sum("n").alias("total"))
-    sums = sums.withColumn("before", F.sum("total").over(Window.partitionBy("key").orderBy("bucket")) - F.col("total"))
-    within = Window.partitionBy("key", "bucket").orderBy("id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("at", F.sum("n").over(within) - F.col("n")).join(sums.select("key", "bucket", "before"), ["key", "bucket"])
+    rows = docs.select(key.alias("key"), F.col("doc_id").alias("id"), F.xxhash64(F.lit(0), "doc_id", "text").alias("place"), F.col("lang").alias("lang"), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n"), F.col("text").alias("text")).where("n > 0")
+    rows = rows.withColumns({"high": F.shiftrightunsigned("place", 64 - LEVEL), "low": F.shiftrightunsigned("place", 64 - 2 * LEVEL).bitwiseAND((1 << LEVEL) - 1)})
+    sums = cut(rows.groupBy("key", "high", "low").agg(F.sum("n").alias("total")))  # as many rows as there are documents at most, without their texts
+    above = sums.groupBy("key", "high").agg(F.sum("total").alias("whole"))
+    above = above.select("key", "high", before(above, ("key",), "high", "whole").alias("above"))
+    starts = sums.withColumn("inner", before(sums, ("key", "high"), "low", "total")).join(above, ["key", "high"]).select("key", "high", "low", (F.col("above") + F.col("inner")).alias("before"))
+    within = Window.partitionBy("key", "high", "low").orderBy("place", "id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    # starts grow with the documents: no broadcast but by their measured size; the documents are partitioned for the window already
+    placed = rows.withColumn("at", F.sum("n").over(within) - F.col("n")).join(starts.hint("shuffle_hash"), ["key", "high", "low"])
     start = F.col("before") + F.col("at")
     b = F.lit(block_tokens).cast("long")
     placed = placed.select("key", "id", "lang", "n", start.alias("start"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
@@ -119,7 +128,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     total = (total_slots if total_slots is not None else sum(n_blocks.values())) if keys else 0
     shards = -(-total // shard_slots)
     drawn = spark.range(shards).withColumnRenamed("id", "shard").mapInArrow(bind(__name__, "draw_kernel", keys or ["0"], [wanted[k] for k in keys] or [1.0], shard_slots, total, seed), "shard bigint, key string, drawn bigint, first bigint, size bigint")
-    drawn = drawn.where("drawn > 0").withColumn("base", F.sum("drawn").over(Window.partitionBy("key").orderBy("shard")) - F.col("drawn"))
+    drawn = drawn.where("drawn > 0").withColumn("group", F.shiftright("shard", LEVEL))
+    groups = drawn.groupBy("key", "group").agg(F.sum("drawn").alias("whole"))
+    groups = groups.select("key", "group", before(groups, ("key",), "group", "whole").alias("above"))
+    drawn = drawn.withColumn("inner", before(drawn, ("key", "group"), "shard", "drawn")).join(groups, ["key", "group"]).withColumn("base", F.col("above") + F.col("inner"))
     slots = drawn.select("shard", "key", "base", "first", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)).alias("k"))
     slots = slots.select("shard", "key", "size", (F.col("base") + F.col("k")).alias("j"), (F.col("first") + F.col("k")).alias("place"))
     slots = slots.mapInArrow(bind(__name__, "slot_kernel", n_blocks, seed), "shard bigint, slot bigint, key string, epoch bigint, block bigint")
@@ -130,7 +142,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The slots of mix() with the columns of docs: doc_id numbers them over all shards, lang is that of a
-    block's first piece, n_chars the length of its text; columns of other names are null."""
+    block's first piece, n_chars the length of its text; columns of other names are null. Which documents a block is made of, mix() tells."""
     slots = options.get("shard_slots", SHARD_SLOTS)
     out = mix(docs, **options)
     made = {"doc_id": F.col("shard") * slots + F.col("slot"), "text": F.col("text"), "lang": F.col("lang"), "source": F.col("source"), "n_chars": F.length("text")}

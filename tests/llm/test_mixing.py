@@ -16,18 +16,29 @@ def rows(prose):
     return out
 
 
-def blocks_by_hand(data, size):
-    words = defaultdict(list)
-    for d, t, s in sorted((r for r in data if r[1] and r[1].split()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+@pytest.fixture(scope="module")
+def places(make):
+    """The order of documents: a signed 64-bit hash read as unsigned."""
+    from pyspark.sql import functions as F
+
+    def places(data):
+        return {(r["doc_id"], r["text"]): r["p"] % (1 << 64) for r in make(data).select("doc_id", "text", F.xxhash64(F.lit(0), "doc_id", "text").alias("p")).collect()}
+
+    return places
+
+
+def blocks_by_hand(data, size, places):
+    words, at = defaultdict(list), places(data)
+    for d, t, s in sorted((r for r in data if r[1] and r[1].split()), key=lambda r: at[r[:2]]):
         words[s] += t.split()
     return {(s, b): w[b * size : (b + 1) * size] for s, w in words.items() for b in range(-(-len(w) // size))}
 
 
-def test_blocks_hold_every_token_once(make, prose):
+def test_blocks_hold_every_token_once(make, prose, places):
     data = rows(prose)
     blocks, _ = mixing.pack(make(data), 64)
     got = {(None if r["key"] == "0" else r["key"][1:], r["block"]): r["text"].split() for r in blocks.collect()}
-    assert got == blocks_by_hand(data, 64)
+    assert got == blocks_by_hand(data, 64, places)
 
 
 def test_permutations():
@@ -38,11 +49,11 @@ def test_permutations():
     assert mixing.permute(np.arange(1000), np.full(1000, 1000), np.zeros(1000)).tolist() != list(range(1000))
 
 
-def test_weights_slots_and_epochs(make, prose):
+def test_weights_slots_and_epochs(make, prose, places):
     data = rows(prose)
     weights = {"big": 1.0, "small": 3.0, None: 0.0, "absent": 5.0}
     got = mixing.mix(make(data), weights, block_tokens=32, shard_slots=50, total_slots=2000).collect()
-    by_hand = blocks_by_hand(data, 32)
+    by_hand = blocks_by_hand(data, 32, places)
     assert len(got) == 2000
     assert {(r["shard"], r["slot"]) for r in got} == {(a, b) for a in range(40) for b in range(50)}
     share = Counter(r["source"] for r in got)
@@ -74,9 +85,21 @@ def test_nothing_to_mix(make, data):
     assert mixing.mix(make(data)).count() == 0
 
 
-def test_rows_of_all_kinds(make):
-    data = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (2, "  lead and trail \n", None), (3, "long " * 200_000, "0"), (4, "x", ""), (5, None, "s")]
+def test_rows_of_all_kinds(make, places):
+    data = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (2, "  lead and trail \n", None), (3, "long " * 200_000, "0"), (4, "x", ""), (5, None, "s")] + [(None, f"null {k} id", "s") for k in range(50)] + [(1 << 62 - k, f"far apart {k}", "s") for k in range(50)]
     for extra in (False, True):
         blocks, _ = mixing.pack(make(data, extra), 1000)
         got = {(None if r["key"] == "0" else r["key"][1:], r["block"]): r["text"].split() for r in blocks.collect()}
-        assert got == blocks_by_hand(data, 1000)
+        assert got == blocks_by_hand(data, 1000, places)
+
+
+def test_levels_hold_few_buckets_each(make, prose, monkeypatch):
+    """With levels of two bits, sums over many buckets and documents of one bucket are as by hand."""
+    monkeypatch.setattr(mixing, "LEVEL", 2)
+    data = rows(prose)
+    blocks, sums = mixing.pack(make(data), 64)
+    assert sums.groupBy("key", "high").count().agg({"count": "max"}).first()[0] <= 4
+    assert sorted(w for r in blocks.collect() for w in r["text"].split()) == sorted(w for r in data for w in r[1].split())
+    assert {r["n_tokens"] for r in blocks.collect()} - {64} == {sum(len(t.split()) for _, t, s in data if s == x) % 64 for x in ("big", "small", None)} - {0}
+    got = mixing.mix(make(data), block_tokens=16, shard_slots=4).collect()
+    assert len({(r["shard"], r["slot"]) for r in got}) == len(got)
