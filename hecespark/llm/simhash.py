@@ -34,6 +34,8 @@ _GENERATOR = 0b110001110101
 PAIRWISE = 48
 #: There, a member is done with once it is found within SURE bits (word sets that differ too much don't get so near), or found so many times.
 SURE, WITNESSES = 6, 8
+#: Of ids that are sent to all workers, counted beforehand.
+BROADCAST_BYTES = 32 << 20
 
 
 def syndrome(v: np.ndarray) -> np.ndarray:
@@ -133,8 +135,9 @@ def overlap_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents that have OVERLAP of the larger one's distinct words in common. Of documents with the same id, any counts."""
-    sets = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(bind(__name__, "set_kernel"), "doc_id bigint, mark bigint, words array<int>")
-    sets = cut(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "mark"]))
+    named = sized(pairs.select(F.explode(F.array("a", "b")).alias("named")).distinct())
+    given = docs.select("doc_id", "text").where("doc_id is not null and text is not null").join(named, F.col("doc_id") == F.col("named"), "left_semi")
+    sets = cut(given.mapInArrow(bind(__name__, "set_kernel"), "doc_id bigint, mark bigint, words array<int>").dropDuplicates(["doc_id", "mark"]))
     side = lambda node, name: sets.select(F.col("doc_id").alias(node), F.col("words").alias(name))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(bind(__name__, "overlap_kernel"), "a bigint, b bigint")
 
@@ -210,41 +213,30 @@ def edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray,
 
 
 def edge_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified edges within keys; the batches come in the order of the keys, and a key's rows are held until all are there."""
+    """Near edges within keys; rows (key, hi, lo, doc_id) come in the order of the keys, and a key's rows alone are held until all are there."""
     held: list[pa.RecordBatch] = []
 
-    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        column = lambda c: t.column(c).combine_chunks()
-        second = column("second")
-        row = np.repeat(np.arange(len(t)), pc.list_value_length(second).to_numpy(zero_copy_only=False))
-        key = column("key").to_numpy()[row].astype(np.int64) << 12 | second.flatten().to_numpy()
-        hi, lo, ids = (column(c).to_numpy() for c in ("hi", "lo", "doc_id"))
-        x, y = edges(key, hi[row], lo[row])
-        a, b = ids[row[x]], ids[row[y]]
+        key, hi, lo, ids = (t.column(c).to_numpy() for c in ("key", "hi", "lo", "doc_id"))
+        x, y = edges(key, hi, lo)
+        a, b = ids[x], ids[y]
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         found = found[found[:, 0] != found[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column("key").to_numpy()
-        cut_at = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
-        if held and (cut_at or held[-1].column("key")[0].as_py() != key[0]):
-            if held[-1].column("key")[0].as_py() == key[0] and cut_at:
-                held.append(batch.slice(0, cut_at))
-                batch = batch.slice(cut_at)
-            yield from flush(held)
+        last = int(np.searchsorted(key, key[-1]))  # where the batch's last key begins
+        if last or (held and held[-1].column("key")[0].as_py() != key[-1]):
+            rows = [*held, batch.slice(0, last)] if last else held
+            yield flush(rows)
             held = []
-            key = batch.column("key").to_numpy()
-            cut_at = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
-        if cut_at:
-            yield from flush([batch.slice(0, cut_at)])
-            batch = batch.slice(cut_at)
-        held.append(batch)
+        held.append(batch.slice(last))
     if held:
-        yield from flush(held)
+        yield flush(held)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -274,7 +266,10 @@ def groups(docs: DataFrame) -> DataFrame:
     prints = cut(fingerprinted(docs))
     same = prints.groupBy(*HALVES).agg(F.min("doc_id").alias("doc_id"))
     keyed = same.mapInArrow(bind(__name__, "key_kernel"), "key int, doc_id bigint, hi bigint, lo bigint, second array<smallint>")
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(bind(__name__, "edge_kernel"), "a bigint, b bigint")
+    # rows are shuffled with the keys of their second word in a list, and spread over those, 4,096 times as many, where they have arrived
+    pairs = keyed.repartition("key").select("key", F.explode("second").alias("second"), "hi", "lo", "doc_id")
+    pairs = pairs.select((F.shiftleft(F.col("key").cast("bigint"), 12) + F.col("second")).alias("key"), "hi", "lo", "doc_id")
+    found = pairs.sortWithinPartitions("key").mapInArrow(bind(__name__, "edge_kernel"), "a bigint, b bigint")
     found = verified(cut(found.distinct()), docs)
     copies = prints.withColumn("a", F.min("doc_id").over(Window.partitionBy(*HALVES))).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     joined = components(found.unionByName(copies))
@@ -282,10 +277,20 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The documents without those that are in a group and aren't its group_id. Of equal rows of one doc_id one stays, of others none goes."""
+    """The documents without those that are in a group and aren't its group_id. Of equal rows of one doc_id one stays, of others none goes;
+    null ids stay, and so do null and empty texts. Texts are shuffled only where there are too many ids to broadcast, or ids that repeat."""
     gone = fresh(docs.columns, "gone")
     extra = groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias(gone))
-    kept = docs.join(extra, docs["doc_id"] == extra[gone], "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone))
+    kept = docs.join(sized(extra), F.col(gone) == docs["doc_id"], "left_anti")
+    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone)))
+    if twice.isEmpty():
+        return kept
+    twice = sized(twice)
     once = kept.join(twice, kept["doc_id"] == twice[gone], "left_anti")
     return once.unionByName(kept.join(twice, kept["doc_id"] == twice[gone], "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """ids (of one column) written once; to be broadcast where they are counted and found to take up to BROADCAST_BYTES, else joined by a shuffle."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids.hint("merge")

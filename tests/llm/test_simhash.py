@@ -152,3 +152,13 @@ def test_recall_against_word_sets(make, prose):
     have = {(a, b) for a, b in want if a in group and group[a] == group.get(b)}
     assert len(want) > 200 and len(have) >= 0.9 * len(want), (len(have), len(want))
     assert not [d for d in group if d >= 2000]
+
+
+def test_ids_beyond_what_is_broadcast(make, prose, monkeypatch):
+    """With no room for a broadcast the same documents go."""
+    rows = [(k, prose(60, k)) for k in range(40)] + [(100 + k, prose(60, k) + " end") for k in range(0, 40, 3)] + [(7, prose(60, 7)), (7, prose(50, 999)), (None, prose(60, 1)), (200, None)]
+    key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    by_size = key(simhash.drop_near(make(rows, True)))
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
+    assert key(simhash.drop_near(make(rows, True))) == by_size
+    assert {i for i, _ in by_size} == {*range(40), None, 200} and sum(i == 7 for i, _ in by_size) == 2
