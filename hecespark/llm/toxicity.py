@@ -203,24 +203,29 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features
     return Model(wanted, weights, bias)
 
 
+def judged(texts: pa.Array, scores: np.ndarray) -> np.ndarray:
+    """Which texts are toxic: never one that is null or has no word."""
+    worded = pc.fill_null(pc.match_substring_regex(texts, r"[\p{L}\p{N}]"), False).to_numpy(zero_copy_only=False)
+    return worded & (scores >= THRESHOLD)
+
+
 def score_kernel(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
         null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
         s = model.scores(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s, mask=null), pa.array(~null & (s >= THRESHOLD))], names=[*keep, "score", "toxic"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s, mask=null), pa.array(judged(batch.column("text"), s))], names=[*keep, "score", "toxic"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), toxic: one row per document. A null text has a null score and isn't toxic; an empty one has the bias alone."""
+    """doc_id, score (0 to 1), toxic: one row per document. A null text has a null score and isn't toxic; one without a word scores by the bias alone and isn't toxic either."""
     return docs.select("doc_id", "text").mapInArrow(bind(__name__, "score_kernel", model, ["doc_id"]), "doc_id bigint, score double, toxic boolean")
 
 
 def keep_kernel(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, text):
-        null = batch.column(text).is_null().to_numpy(zero_copy_only=False)
-        yield batch.filter(pa.array(null | (model.scores(batch.column(text)) < THRESHOLD)))
+        yield batch.filter(pa.array(~judged(batch.column(text), model.scores(batch.column(text)))))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that aren't toxic, as they are, with all their columns: null texts stay, repeated rows are judged alike."""
+    """The documents that aren't toxic, as they are, with all their columns: texts that are null or have no word stay, repeated rows are judged alike."""
     return docs.mapInArrow(bind(__name__, "keep_kernel", model, "text"), docs.schema)

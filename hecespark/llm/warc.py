@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from hecespark.runtime import bind, shared_dir
+from hecespark.runtime import bind, scratch
 
 CHUNK = 1 << 16
 LEVEL = 1
@@ -245,4 +244,4 @@ def read(spark: SparkSession, files: list[str] | DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return scratch(spark, "warc")

@@ -36,17 +36,34 @@ def test_against_brute_force(spark, spread):
     rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)]
     ids, codes = np.arange(260), np.array([code(v) for v in vectors])
     df = spark.createDataFrame(rows, SCHEMA)
-    assert found(df, 7) == brute(ids, codes, 7)
-    assert found(df, 7, query_block=40, table_codes=70) == brute(ids, codes, 7)
+    want = brute(ids, codes, 7)
+    assert found(df, 7, every=1) == want
+    assert found(df, 7, every=1, segments=8) == want
+    assert found(df, 7) == {i: x for i, x in want.items() if i % 50 == 0}
 
 
 def test_nulls_repeats_and_other_lengths(spark):
     one = [1.0] * 64
     rows = [(1, one), (1, one), (2, [float("nan")] * 64), (3, None), (4, [1.0, 2.0]), (None, one), (5, []), (6, [None] * 64)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", rank bigint, code bigint")
-    assert found(df, 10) == {1: [(2, 64), (6, 64)], 2: [(6, 0), (1, 64)], 6: [(2, 0), (1, 64)]}
+    assert found(df, 10, every=1) == {1: [(2, 64), (6, 64)], 2: [(6, 0), (1, 64)], 6: [(2, 0), (1, 64)]}
 
 
 def test_few_rows(spark):
-    assert found(spark.createDataFrame([], SCHEMA), 3) == {}
-    assert found(spark.createDataFrame([(1, [1.0] * 64)], SCHEMA), 3) == {}
+    assert found(spark.createDataFrame([], SCHEMA), 3, every=1) == {}
+    assert found(spark.createDataFrame([(1, [1.0] * 64)], SCHEMA), 3, every=1) == {}
+
+
+@pytest.mark.parametrize("fewest", [1, 1 << 20])
+def test_rounds_and_scan_agree(spark, monkeypatch, fewest):
+    """By radii as far as they go, or with a scan from where it is cheaper: the same neighbours; a third of all rows have one code."""
+    monkeypatch.setattr(hamming, "FEWEST", fewest)
+    monkeypatch.setattr(hamming, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(300, 64))
+    vectors[::3] = 1.0
+    vectors[100:160] = vectors[101] + rng.normal(size=(60, 64)) * 0.3
+    ids, codes = np.arange(300) - 150, np.array([code(v) for v in vectors])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], SCHEMA)
+    want = brute(ids, codes, 5)
+    assert found(df, 5, every=10, segments=4) == {i: x for i, x in want.items() if i % 10 == 0}

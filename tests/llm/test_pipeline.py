@@ -56,6 +56,25 @@ def test_empty_documents(spark, make, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_nulls_repeats_and_clashing_columns(spark, make, prose, tmp_path):
+    """Null ids, repeated ids and rows, null and empty texts, and further columns whose names operators use: no crash, and no clean document lost."""
+    text = f"{prose(80, 3)} {GOOD}"
+    rows = [(None, text, "a"), (None, None, "a"), (1, text, "a"), (1, text, "a"), (1, f"{prose(80, 4)} {GOOD}", None), (2, "", None), (3, None, "b"), (4, f"{prose(90, 5)} {GOOD} key: {HEX}", "b"), (5, f"{prose(90, 6)} {BAD}", "b")]
+    rows += [(100 + k, f"{prose(60, 900 + k)} {BAD if k % 2 else GOOD}", "c") for k in range(40)]
+    make(rows, True).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100 + k, 1, k % 2) for k in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, str(tmp_path)).cache()
+        if name != "tokens":
+            assert docs.dtypes == before.dtypes, name
+        if name == "secrets":
+            kept = {(r["doc_id"], r["text"] is None) for r in docs.collect()}
+            assert {(None, False), (None, True), (1, False), (2, False), (3, True), (4, False)} <= kept and (5, False) not in kept
+            assert docs.where("doc_id = 1").count() == 2 and not docs.where(F.contains("text", F.lit(HEX))).count()
+    assert docs.count() > 0 and docs.where("not lossless").count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_warc", "op5_top_k"])
 def test_sql_gives_the_same(spark, name):
     duckdb = pytest.importorskip("duckdb")
