@@ -120,15 +120,15 @@ class Chart:
 
     def seeds(self, w: str, oov: bool, known: bool = True) -> Iterator[tuple]:
         """(pos, state, class, flags, pronominal n, suffix that has to follow, score, key, root, oov)"""
-        n, x = len(w), self.weights
+        n, x, shortened = len(w), self.weights, realize.get_inverse("delete_stem_final_low_vowel")
         if known:
             for pos in range(1, min(n, self.longest) + 1):
                 for k, form, cls, freq, flags, pn in self.forms.get(w[:pos], ()):
                     if cls in dims.START:
                         yield pos, dims.START[cls], cls, flags, pn, "", freq + pos * x.root_letter, (0, 0, k), form, False
                 if 2 <= pos < min(x.max_oov, n):
-                    for i, low in enumerate("ae"):
-                        for k, form, cls, freq, flags, pn in self.forms.get(w[:pos] + low, ()):
+                    for i, stem in enumerate(shortened(w[:pos])):
+                        for k, form, cls, freq, flags, pn in self.forms.get(stem, ()):
                             if cls == "VERB":
                                 yield pos, dims.START[cls], cls, flags, pn, "PROG", freq + pos * x.root_letter, (0, 1, i, k), form, False
         if oov:

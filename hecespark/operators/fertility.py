@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
 from hecespark.operators import parse, text
+from hecespark.runtime import ROOT
 
 #: Marks that splitters put on pieces: each is taken off the start once and off the end once, in this order.
 MARKS = ("▁", "Ġ", "##", "</w>", "Ċ")
@@ -18,6 +20,55 @@ ADAPTERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def model(path: str) -> Callable[[Column], Column]:
+    """An adapter of a loaded model: a sentencepiece model (.model), a rank file (.tiktoken) or a tokenizer file (.json). The path must be there on all workers, which each load it once.
+
+    Words go through it in Arrow batches; a null word has null pieces."""
+    from pyspark.sql.types import ArrayType, StringType
+
+    root = ROOT
+
+    def pieces(words):
+        import importlib
+        import sys
+
+        import pandas as pd
+
+        if root not in sys.path:
+            sys.path.append(root)
+        encode = importlib.import_module("hecespark.operators.fertility").loaded(path)
+        return pd.Series([None if w is None else encode(w) for w in words])
+
+    pieces.__annotations__ = {}
+    udf = F.pandas_udf(pieces, ArrayType(StringType()), F.PandasUDFType.SCALAR)
+    return lambda w: udf(w)
+
+
+@cache
+def loaded(path: str) -> Callable[[str], list[str]]:
+    """word -> pieces by the model at path. Pieces of bytes that are no text each show the replacement character."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        p = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda w: p.encode(w, out_type=str)
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        return lambda w: t.encode(w, add_special_tokens=False).tokens
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+        e = tiktoken.Encoding(path, pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        return lambda w: [e.decode_single_token_bytes(x).decode("utf-8", "replace") for x in e.encode_ordinary(w)]
+    raise ValueError(f"no adapter for {path}")
+
+
 def clean(piece: Column) -> Column:
     for m in MARKS:
         piece = F.regexp_replace(F.regexp_replace(piece, rf"\A\Q{m}\E", ""), rf"\Q{m}\E\z", "")

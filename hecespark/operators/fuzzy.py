@@ -11,6 +11,8 @@ from hecespark.functions import chars
 ALPHABET = "aeıioöuücçdgğklmnrsştyz"
 PAIRS = ("ıi", "oö", "uü", "cç", "sş", "gğ")
 SWAP, KIN = 0.9, 0.4
+#: Rows of terms' parts (some 60 bytes each) that are sent to all workers at most.
+BROADCAST_PARTS = 500_000
 
 
 def substitution(a: Column, b: Column) -> Column:
@@ -55,7 +57,8 @@ def candidates(queries: DataFrame, terms: DataFrame, d: int = 2) -> DataFrame:
 
     By the pigeonhole principle: a term is cut in d + 1 parts by its length, and d edits leave one of them whole, moved by d places at most. Words look
     parts up for the lengths n - d .. n + d, so that the join is an equi-join on (length, part, substring); terms shorter than d + 1 letters have
-    empty parts and meet all words of their lengths. All that meet are verified.
+    empty parts and meet all words of their lengths. All that meet are verified. Parts of terms are broadcast where there are
+    up to BROADCAST_PARTS, and then only pairs that have met are shuffled; else the join is by shuffle.
     """
     q = queries.select("word").where("word is not null").distinct()
     begin = lambda n, k: F.floor(n * k / (d + 1)).cast("int")
@@ -69,7 +72,8 @@ def candidates(queries: DataFrame, terms: DataFrame, d: int = 2) -> DataFrame:
     asked = asked.select("word", "size", "part", at.alias("at"), long.alias("long")).withColumn("move", F.explode(F.sequence(F.lit(-d), F.lit(d))))
     place = F.col("at") + F.col("move")
     asked = asked.where((place >= 0) & (place + F.col("long") <= F.length("word")) | (F.col("long") == 0))
-    asked = asked.select("word", "size", "part", F.when(F.col("long") == 0, "").otherwise(F.substring(F.col("word"), place + 1, F.col("long"))).alias("piece")).distinct()
+    asked = asked.select("word", "size", "part", F.when(F.col("long") == 0, "").otherwise(F.substring(F.col("word"), place + 1, F.col("long"))).alias("piece"))
+    keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_PARTS else keyed
     met = asked.join(keyed, ["size", "part", "piece"]).select("word", "term", "freq").distinct()
     return met.withColumn("distance", F.levenshtein("word", "term", d)).where("distance >= 0")
 
@@ -102,3 +106,25 @@ def make_typo(word, seed: int) -> Column:
     """One of the edits of a word, by the hash of word and seed; the word itself if it has none."""
     e = edits1(word)
     return F.coalesce(F.try_element_at(F.sort_array(e), (F.pmod(F.xxhash64(chars._c(word), F.lit(seed)), F.greatest(F.size(e), F.lit(1))) + 1).cast("int")), chars._c(word))
+
+
+def typo(word, seed: int) -> Column:
+    """An edit of a word as a struct (typo, kind, at): kind (substitute, transpose, delete, insert) and place by the hash of word and seed, letters
+    of ALPHABET. Words of one letter and those that the edit leaves as they are have a null typo."""
+    w = chars._c(word)
+    n = F.length(w)
+    drawn = lambda k, below: F.pmod(F.xxhash64(w, F.lit(seed), F.lit(k)), F.greatest(below, F.lit(1))).cast("int")
+    letter = F.substring(F.lit(ALPHABET), drawn(2, F.lit(len(ALPHABET))) + 1, F.lit(1))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), drawn(0, F.lit(len(KINDS))) + 1)
+    at = drawn(1, F.when(kind == "transpose", n - 1).when(kind == "insert", n + 1).otherwise(n))
+    left, right = F.substring(w, F.lit(1), at), lambda k: F.substring(w, at + 1 + k, n)
+    made = (
+        F.when(kind == "substitute", F.concat(left, letter, right(1)))
+        .when(kind == "transpose", F.concat(left, F.substring(w, at + 2, F.lit(1)), F.substring(w, at + 1, F.lit(1)), right(2)))
+        .when(kind == "delete", F.concat(left, right(1)))
+        .otherwise(F.concat(left, letter, right(0)))
+    )
+    return F.struct(F.when((n > 1) & (made != w), made).alias("typo"), kind.alias("kind"), at.alias("at"))
+
+
+KINDS = ("substitute", "transpose", "delete", "insert")

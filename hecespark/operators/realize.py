@@ -8,6 +8,7 @@ literals, and no rule runs at query time.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cache
 
@@ -84,37 +85,113 @@ def context_of(stem: Column) -> Column:
     return (kind * 5 + letter) * 2 + chars.monosyllabic(stem).cast("int")
 
 
-def alternatives(s: dims.Suffix, letter: str, mono: bool, bits: dict[tuple[str, str], int]) -> list[tuple[str, int, str]]:
-    """(template, bits it asks for, suffix that has to follow) of a suffix after stems of this kind, in the order in which they are tried."""
-    out = [(s.template, 0, "")]
-    vowel = letter == "vowel"
+@dataclass(frozen=True)
+class Before:
+    """What stands before a suffix: the kind of its last letter, whether it has one syllable, and the bits of licensed derivations."""
+
+    letter: str
+    mono: bool
+    bits: Mapping[tuple[str, str], int]
+
+    @property
+    def vowel(self) -> bool:
+        return self.letter == "vowel"
+
+
+#: What a parse tries for a template of a rule: name -> function(template, Before) giving (template, bits it asks for, suffix that has to follow).
+EXPAND: dict[str, Callable[[str, Before], list[tuple[str, int, str]]]] = {}
+#: Rules that a parse undoes before any suffix is tried: name -> function(stem) giving the stems that it may have come from.
+INVERSE: dict[str, Callable[[str], list[str]]] = {}
+
+
+def _registered(book: dict, name: str) -> Callable:
+    def add(f: Callable) -> Callable:
+        if name in book:
+            raise ValueError(f"{name} is there twice")
+        book[name] = f
+        return f
+
+    return add
+
+
+def expand(name: str) -> Callable:
+    return _registered(EXPAND, name)
+
+
+def inverse(name: str) -> Callable:
+    return _registered(INVERSE, name)
+
+
+def get_inverse(name: str) -> Callable[[str], list[str]]:
+    if name not in INVERSE:
+        raise ValueError(f"no inverse view of {name}")
+    return INVERSE[name]
+
+
+@expand("drop_initial_H_after_vowel_stem")
+def _drop_h(t: str, b: Before):
+    return [(t[1:] if b.vowel and t.startswith("H") else t, 0, "")]
+
+
+@expand("insert_n_after_3rd_person_possessive")
+def _insert_n(t: str, b: Before):
+    return [("n" + t, WITH_N, ""), (t, WITHOUT_N, "")]
+
+
+@expand("aorist_allomorphy")
+def _aorist(t: str, b: Before):
+    out = [("", NEG, ""), ("z", NEG, "")]
+    if b.vowel:
+        return [*out, ("r", NOT_NEG, "")]
+    if not b.mono:
+        return [*out, ("Hr", NOT_NEG, "")]
+    return [*out, ("Hr", NOT_NEG | HIGH_AORIST, ""), ("Ar", NOT_NEG | LOW_AORIST, "")]
+
+
+@expand("passive_allomorphy")
+def _passive(t: str, b: Before):
+    return [("n" if b.vowel else "Hn" if b.letter == "l" else "Hl", 0, "")]
+
+
+@expand("causative_allomorphy")
+def _causative(t: str, b: Before):
+    return [("t" if b.vowel or (b.letter in "lr" and not b.mono) else "DHr", 0, "")]
+
+
+@expand("caus_deriv_allomorphy")
+def _caus_deriv(t: str, b: Before):
+    return [(x, bit, "") for (kind, x), bit in b.bits.items() if kind == "caus"]
+
+
+@expand("pass_deriv_allomorphy")
+def _pass_deriv(t: str, b: Before):
+    return [(x, bit, "") for (kind, x), bit in b.bits.items() if kind == "pass"]
+
+
+@expand("potential_neg_suppletion")
+def _potential(t: str, b: Before):
+    return [(t, 0, ""), ("(y)A", 0, "NEG")]
+
+
+@expand("neg_aor_agreement_suppletion")
+def _neg_aor(t: str, b: Before):
+    return [("m", AFTER_ZERO_AORIST, ""), (t, NOT_AFTER_ZERO_AORIST, "")] if t == "(y)Hm" else [(t, 0, "")]
+
+
+@inverse("delete_stem_final_low_vowel")
+def _restore(stem: str) -> list[str]:
+    """A verb that lost its last a or e before the suffix; seeds look up both."""
+    return [stem + v for v in "ae"]
+
+
+def alternatives(s: dims.Suffix, letter: str, mono: bool, bits: Mapping[tuple[str, str], int]) -> list[tuple[str, int, str]]:
+    """(template, bits it asks for, suffix that has to follow) of a suffix after stems of this kind, in the order in which they are tried. A rule of INVERSE alone leaves its template."""
+    out, before = [(s.template, 0, "")], Before(letter, mono, bits)
     for rule in s.rules:
-        before, out = out, []
-        for t, need, then in before:
-            if rule == "drop_initial_H_after_vowel_stem":
-                out.append((t[1:] if vowel and t.startswith("H") else t, need, then))
-            elif rule == "insert_n_after_3rd_person_possessive":
-                out += [("n" + t, need | WITH_N, then), (t, need | WITHOUT_N, then)]
-            elif rule == "aorist_allomorphy":
-                out += [("", need | NEG, then), ("z", need | NEG, then)]
-                if vowel:
-                    out.append(("r", need | NOT_NEG, then))
-                elif not mono:
-                    out.append(("Hr", need | NOT_NEG, then))
-                else:
-                    out += [("Hr", need | NOT_NEG | HIGH_AORIST, then), ("Ar", need | NOT_NEG | LOW_AORIST, then)]
-            elif rule == "passive_allomorphy":
-                out.append(("n" if vowel else "Hn" if letter == "l" else "Hl", need, then))
-            elif rule == "causative_allomorphy":
-                out.append(("t" if vowel or (letter in "lr" and not mono) else "DHr", need, then))
-            elif rule in ("caus_deriv_allomorphy", "pass_deriv_allomorphy"):
-                out += [(x, need | bit, then) for (kind, x), bit in bits.items() if kind == rule[:4]]
-            elif rule == "potential_neg_suppletion":
-                out += [(t, need, then), ("(y)A", need, "NEG")]
-            elif rule == "neg_aor_agreement_suppletion":
-                out += [("m", need | AFTER_ZERO_AORIST, then), (t, need | NOT_AFTER_ZERO_AORIST, then)] if t == "(y)Hm" else [(t, need, then)]
-            else:  # delete_stem_final_low_vowel: its stem is seeded shortened, and yor is all that is left after a vowel
-                out.append((t, need, then))
+        if rule in EXPAND:
+            out = [(x, need | more, follows or then) for t, need, then in out for x, more, follows in EXPAND[rule](t, before)]
+        elif rule not in INVERSE:
+            raise ValueError(f"no view of {rule} for parsing")
     return out
 
 

@@ -142,6 +142,18 @@ def _roots() -> str:
     return values([(k, r.form, r.cls, r.frequency) for k, r in enumerate(dims.roots())], "root_id, form, class, frequency")
 
 
+def _templates() -> tuple[str, ...]:
+    return tuple(sorted({s.template for s in dims.grammar().suffixes.values() if s.template}))
+
+
+@query(lambda: applied(f"SELECT DISTINCT form AS stem FROM ({_roots()})", _templates()))
+def apply_suffix_all(spark, sf_dir):
+    """Every template of the inventory on every root."""
+    stems = dims.root_frame(spark).select(F.col("form").alias("stem")).distinct()
+    each = stems.withColumn("template", F.explode(F.array(*map(F.lit, _templates()))))
+    return each.select("stem", "template", chars.apply_suffix("stem", F.col("template")).alias("surface"))
+
+
 def _forms() -> str:
     rows = []
     for k, r in enumerate(dims.roots()):
@@ -305,6 +317,26 @@ FROM (SELECT word, regexp_matches(word, 'm[ae]k$') AS verb FROM (SELECT DISTINCT
 WHERE regexp_full_match(word, '[a-zçğıöşüâîû]{{2,20}}')) WHERE NOT (verb AND length(word) <= 3)"""
 
 
+@query(f"""
+WITH w AS (SELECT DISTINCT lower(translate(word, 'İI', 'iı')) AS word FROM (SELECT unnest(regexp_extract_all(text, '[{WORD}]+')) AS word FROM documents)
+WHERE regexp_full_match(lower(translate(word, 'İI', 'iı')), '[a-zçğıöşüâîû]{{2,20}}')), h AS ({_HEADS})
+SELECT form, class, class = 'NOUN' AND contains('{chars.HARD}', right(form, 1)) AND left(form, length(form) - 1) || translate(right(form, 1), '{chars.HARD}', '{chars.SOFT}') IN (SELECT word FROM w) AS soften FROM h""")
+def lexicon_headwords(spark, sf_dir):
+    return lexicon.headwords(documents(spark, sf_dir).select(F.explode(text.words_of("text")).alias("word")))
+
+
+@query(lambda: f"""
+WITH r AS (SELECT form, class, max(frequency) AS frequency FROM ({_roots()}) WHERE length(form) <> 3 GROUP BY form, class)
+SELECT form, class, CASE WHEN length(form) % 2 = 0 THEN 7000 + length(form) ELSE frequency END AS frequency FROM r UNION ALL SELECT 'zonk', 'NOUN', NULL""")
+def lexicon_overrides(spark, sf_dir):
+    """Roots of three letters pruned; of an even number of letters, given another frequency; and a new one without any."""
+    roots = dims.root_frame(spark).groupBy("form", "class").agg(F.max("frequency").alias("frequency"))
+    n = F.length("form")
+    kept = lexicon.pruned(roots, roots.where(n == 3).select("form", "class"))
+    changes = kept.where(n % 2 == 0).select("form", "class", (7000 + n).cast("bigint").alias("frequency"))
+    return lexicon.overridden(kept, changes.unionByName(spark.createDataFrame([("zonk", "NOUN", None)], changes.schema)))
+
+
 @query(f"""
 WITH u AS (SELECT form, class, frequency FROM ({_EXTRACT})), h AS ({_HEADS})
 SELECT form, class, frequency FROM u UNION ALL SELECT form, class, 0 FROM h WHERE form NOT IN (SELECT form FROM u)""")
@@ -544,6 +576,31 @@ def eval_feature_keys(spark, sf_dir):
     return evaluate.feature_keys(*judged(spark, sf_dir))
 
 
+@query(f"{_EVAL} SELECT doc_id AS id, lemma, upos, CASE WHEN there THEN root END AS p_root FROM b WHERE NOT there OR root <> lemma ORDER BY doc_id LIMIT 20")
+def eval_root_errors(spark, sf_dir):
+    return evaluate.root_errors(*judged(spark, sf_dir))
+
+
+#: Treebank lines, and what the counters of their first analyses are.
+TREEBANK = (
+    "# text = Evde", "1\tevde\tev\tNOUN\t_\tCase=Loc|Number=Sing|Person=3\t_", "2\tgeldi\tgel\tVERB\t_\tAspect=Perf|Mood=Ind|Number=Sing|Person=3|Polarity=Pos|Tense=Past\t_", "3\tve\tve\tCCONJ\t_\t_\t_", "",
+    "1-2\tx\tx\tNOUN\t_\t_\t_", "1\tyazmak\tyaz\tVERB\t_\tAspect=Perf|Case=Nom|Mood=Ind|Polarity=Pos|Tense=Pres|VerbForm=Vnoun\t_", "2\tqqqq\tzzz\tPROPN\t_\tCase=Nom\t_",
+)
+COUNTED = ((None, 4, 4, 3, 4, 3, 16, 2, 0, 0.941176), ("NOUN", 2, 2, 1, 2, 1, 4, 2, 0, 0.8), ("VERB", 2, 2, 2, 2, 2, 12, 0, 0, 1.0))
+
+
+@query(lambda: f"SELECT upos, n, parsed, root, class, exact, tp, fp, fn, f1::DOUBLE AS f1 FROM ({values(list(COUNTED), 'upos, n, parsed, root, class, exact, tp, fp, fn, f1')})")
+def eval_treebank(spark, sf_dir):
+    lines = spark.createDataFrame([(x,) for x in TREEBANK], "value string")
+    return evaluate.counters(*evaluate.treebank(lines)).select("upos", "n", "parsed", "root", "class", "exact", "tp", "fp", "fn", "f1")
+
+
+@query()
+def suggester_bench(spark, sf_dir):
+    """Corrections of typos of the documents' words of known roots: a sample is the operator's feature."""
+    return evaluate.suggester(distinct_tokens(spark, sf_dir).withColumnRenamed("token", "word"))
+
+
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '[{WORD}]+'))::BIGINT AS words FROM documents")
 def stream_word_counts(spark, sf_dir):
     """All documents as a stream, written once each and read again."""

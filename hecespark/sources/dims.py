@@ -20,6 +20,8 @@ RULES = {
     "drop_initial_H_after_vowel_stem", "delete_stem_final_low_vowel", "insert_n_after_3rd_person_possessive", "aorist_allomorphy", "passive_allomorphy",
     "causative_allomorphy", "caus_deriv_allomorphy", "pass_deriv_allomorphy", "potential_neg_suppletion", "neg_aor_agreement_suppletion",
 }
+#: Names of further rules, whose views a user registers with generate.forward and realize.expand or realize.inverse.
+ADDED_RULES: set[str] = set()
 #: A template: small letters, archiphonemes A H D C G, and one character in parentheses as a buffer.
 TEMPLATE = r"\A(?:[a-zçğıöşüAHDCG]|\([a-zçğıöşüAHDCG]\))*\z"
 SUFFIX_SCHEMA = "id string, category string, template string, class_in string, class_out string, rules array<string>, weight string, a_deletable boolean, feats map<string,string>"
@@ -71,7 +73,7 @@ class Grammar:
         for s in self.suffixes.values():
             if not re.match(TEMPLATE.replace(r"\z", r"\Z"), s.template):
                 raise ValueError(f"template of {s.id}: {s.template!r}")
-            if unknown := set(s.rules) - RULES:
+            if unknown := set(s.rules) - RULES - ADDED_RULES:
                 raise ValueError(f"rules of {s.id}: {sorted(unknown)}")
         seen: dict[tuple[str, str], str] = {}
         for e in self.edges:
@@ -206,6 +208,22 @@ def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(need.alias("root_id"), "e.*").fillna({"frequency": 0, "soften": False, "aorist_high": False, "pronominal_n": False})
 
 
+def load_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(changes, gone) of a JSON file {additions: [{form, class, ...}], prune: [{form, class}]}: entries with form and class; headings (_section) and comments are passed over.
+    changes have the columns of ROOT_SCHEMA, null where the file says nothing."""
+    fields = ", ".join(f"{n}:{t}" for n, t in (x.strip().split(" ", 1) for x in ROOT_SCHEMA.split(", ")))
+    entry = f"array<struct<_section:string, {fields}>>"
+    rows = spark.read.schema(f"additions {entry}, prune {entry}").json(path, multiLine=True)
+    listed = lambda name: rows.select(F.explode(name).alias("e")).where("e._section is null and e.form is not null and e.class is not null").select("e.*").drop("_section")
+    return listed("additions"), listed("prune").select("form", "class")
+
+
+def load_headwords(spark: SparkSession, path: str) -> DataFrame:
+    """(word, meanings) of a dictionary: a JSON array of {word, meanings}, or one such object a line. Entries without a word are passed over; lexicon.headwords() takes the rest."""
+    rows = spark.read.schema("word string, meanings array<string>").json(path, multiLine=True)
+    return rows.where("word is not null and word <> ''")
+
+
 def save_lexicon(root_df: DataFrame, path: str) -> None:
     """Entries as JSON lines, a directory of them."""
     root_df.drop("root_id").write.mode("overwrite").json(path)

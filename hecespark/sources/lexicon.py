@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
+from hecespark.runtime import cut
 
 OPEN = ("NOUN", "VERB", "ADJ")
 
@@ -97,5 +98,13 @@ def summary(roots: DataFrame) -> DataFrame:
 
 
 def ranked(roots: DataFrame) -> DataFrame:
-    """roots with root_id: by frequency, then form and class."""
-    return roots.withColumn("root_id", (F.row_number().over(Window.orderBy(F.desc("frequency"), "form", "class")) - 1).cast("bigint"))
+    """roots with root_id: by frequency, then form and class. The rows are sorted by ranges, written, counted range by range, and numbered where they are."""
+    order = cut(roots.orderBy(F.desc("frequency"), "form", "class"))
+    placed = order.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    before, total = {}, 0
+    for r in placed.groupBy("_part").count().orderBy("_part").collect():  # as many as there are ranges
+        before[r["_part"]], total = total, total + r["count"]
+    if not before:
+        return roots.withColumn("root_id", F.lit(0).cast("bigint"))
+    first = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
+    return placed.withColumn("root_id", (first[F.col("_part")] + F.col("_in")).cast("bigint")).drop("_part", "_in")

@@ -177,3 +177,40 @@ def test_contexts_agree_with_columns(spark):
     df = spark.createDataFrame([(w,) for w in ("kitap", "şöför", "brr", "güler", "a")], "w string")
     for r in df.select("w", F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: realize.context_of(F.col("w").substr(F.lit(1), k))).alias("c")).collect():
         assert r["c"] == chart.contexts(r["w"]), r["w"]
+
+
+def test_every_suffix_goes_round(spark):
+    """Each suffix that a root's state allows is generated on roots of its class, and is among the analyses of what was generated."""
+    g = dims.grammar()
+    stems = {"NOUN": ["ev", "araba", "kitap"], "VERB": ["gel", "oku", "yap"], "ADJ": ["güzel", "kara"]}
+    cases = [(s, [e.suffix], cls) for cls, start in g.start.items() for e in g.edges if e.state == start for s in stems[cls] if "deriv" not in "".join(g.suffixes[e.suffix].rules)]
+    cases = [(*case, case[0] == "kitap") for case in cases]
+    assert len({c[1][0] for c in cases}) > 55
+    df = spark.createDataFrame(cases, "stem string, chain array<string>, word_class string, soften boolean")
+    c, missing = chart.packaged(), []
+    for r in generate.generate(df, strict=False).collect():
+        accepted = g.accept[g.step(g.start[r["word_class"]], r["chain"][0])]
+        if accepted and (r["stem"], tuple(r["chain"])) not in {(a.root, a.ids) for a in c.all_of(r["surface"])}:
+            missing.append((r["surface"], r["stem"], r["chain"]))
+    # a buffer (H) shows as that letter, which a parse never matches: as the engine to match has it
+    assert [m for m in missing if m[0] == m[0].lower()] == []
+
+
+def test_rules_can_be_added():
+    name = "only_for_this_test"
+    with pytest.raises(ValueError):
+        realize.alternatives(dims.Suffix("X", "", "DA", rules=(name,)), "vowel", False, {})
+
+    @realize.expand(name)
+    def _(t, b):
+        return [("lAr", 0, "")] if b.vowel else [(t, realize.NEG, "")]
+
+    try:
+        assert realize.alternatives(dims.Suffix("X", "", "DA", rules=(name,)), "vowel", False, {}) == [("lAr", 0, "")]
+        assert realize.alternatives(dims.Suffix("X", "", "DA", rules=(name,)), "r", False, {}) == [("DA", realize.NEG, "")]
+        with pytest.raises(ValueError):
+            realize.expand(name)(lambda t, b: [])
+    finally:
+        del realize.EXPAND[name]
+    with pytest.raises(ValueError):
+        realize.get_inverse("none")

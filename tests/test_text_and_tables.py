@@ -213,3 +213,60 @@ def test_stream_of_lines(spark, tmp_path):
     query = lines.summary(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("counts").first().asDict() == {"lines": 3, "words": 3}
+
+
+def test_jobs(spark, tmp_path):
+    from hecespark import jobs
+    from hecespark.plans import catalogue
+
+    (tmp_path / "lines.txt").write_text("kitabımı okudum\n\nevdemi\n")
+    total = jobs.normalise(spark, str(tmp_path / "lines.txt"), str(tmp_path / "out"), "lemma").first()
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["", "ev mi", "kitap oku"] and total["words"] == 4
+    (tmp_path / "bank.conllu").write_text("\n".join(catalogue.TREEBANK))
+    counted, keys, errors = jobs.evaluated(spark, str(tmp_path / "bank.conllu"))
+    assert {r["upos"]: r["n"] for r in counted.collect()} == {None: 4, "NOUN": 2, "VERB": 2} and [r["lemma"] for r in errors.collect()] == ["zzz"] and keys.count() > 0
+    (tmp_path / "words.json").write_text(json.dumps([{"word": "kanat", "meanings": ["x"]}, {"word": "kanad"}, {"word": ""}, {"meanings": []}, {"word": "gelmek"}]))
+    (tmp_path / "over.json").write_text(json.dumps({"additions": [{"_section": "s"}, {"form": "su", "class": "NOUN", "frequency": 9}, {"form": "x"}], "prune": [{"form": "ev", "class": "NOUN"}]}))
+    made = {r["class"]: r["n"] for r in jobs.build_lexicon(spark, str(tmp_path / "bank.conllu"), str(tmp_path / "lexicon"), str(tmp_path / "words.json"), str(tmp_path / "over.json")).collect()}
+    forms = {r["form"] for r in spark.read.json(str(tmp_path / "lexicon")).collect()}
+    assert forms == {"gel", "yaz", "zzz", "kanat", "kanad", "su"} and made == {"NOUN": 4, "VERB": 2}
+    assert jobs.fertilities(spark, str(tmp_path / "lines.txt"))["char"].first()["words"] == 3
+
+
+def test_loaded_models(spark):
+    from pathlib import Path
+
+    paths = [p for p in Path("/opt/tokenizers").glob("*") if p.suffix in (".model", ".json", ".tiktoken")]
+    if not paths:
+        pytest.skip("no models here")
+    df = spark.createDataFrame([("kitap evde kitap",), (None,)], "text string")
+    for path in paths[:4]:
+        if path.suffix == ".json" and "model" not in json.loads(path.read_text()):
+            continue
+        r = fertility.score(df, fertility.model(str(path))).first()
+        assert r["words"] == 3 and r["tokens"] >= 3, path
+    with pytest.raises(ValueError):
+        fertility.loaded("x.unknown")
+
+
+def test_typos_and_suggester(spark):
+    df = spark.createDataFrame([(w,) for w in ("kitap", "evlerde", "gelmezsem", "a", "", None)], "word string")
+    for seed in range(12):
+        for r in df.select("word", fuzzy.typo("word", seed).alias("t")).collect():
+            w, t = r["word"], r["t"]["typo"]
+            if t is None:
+                assert w in ("a", "", None) or r["t"]["kind"] in ("substitute", "transpose")
+                continue
+            size = {"delete": -1, "insert": 1}.get(r["t"]["kind"], 0)
+            assert t != w and len(t) == len(w) + size and t[: r["t"]["at"]] == w[: r["t"]["at"]]
+    words = spark.createDataFrame([(w,) for w in ("kitabımı", "evlerde", "okudum", "gözlerde", "qqqq", "x1y2")], "word string")
+    got = {r["by"]: r for r in evaluate.suggester(words, sample=10).collect()}
+    assert 0 < got[None]["n"] <= 4 and got[None]["top1"] <= got[None]["top3"] <= got[None]["fired"] <= got[None]["n"]
+    assert sum(r["n"] for k, r in got.items() if k in fuzzy.KINDS) == got[None]["n"] == sum(got[k]["n"] for k in ("stem", "tail") if k in got)
+
+
+def test_numbering_over_ranges(spark):
+    df = spark.range(1000).selectExpr("'f' || id as form", "'NOUN' as class", "id % 7 as frequency")
+    got = [(r["root_id"], r["frequency"], r["form"]) for r in lexicon.ranked(df).orderBy("root_id").collect()]
+    assert [g[0] for g in got] == list(range(1000)) and got == sorted(got, key=lambda g: (-g[1], g[2]))
+    assert lexicon.ranked(df.limit(0)).count() == 0
