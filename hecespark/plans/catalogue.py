@@ -503,7 +503,7 @@ def tokenize_text(spark, sf_dir):
     return api.tokenize_text(documents(spark, sf_dir))
 
 
-TEXTS = (("Kitabımı gördüm.", "word:Kitabımı=kitap space: punct:. word:gördüm=gör"), ("Yarın gelecekmisin?", "word:Yarın=yarın space: word:gelecek=gel word:misin=mi punct:?"), ("Sen de gelecekmisin?", "word:Sen=sen space: word:de=de space: word:gelecek=gel word:misin=mi punct:?"), ("", ""))
+TEXTS = (("Kitabımı gördüm.", "word:Kitabımı=kitap space: word:gördüm=gör punct:."), ("Yarın gelecekmisin?", "word:Yarın=yarın space: word:gelecek=gel word:misin=mi punct:?"), ("Sen de gelecekmisin?", "word:Sen=sen space: word:de=de space: word:gelecek=gel word:misin=mi punct:?"), ("", ""))
 
 
 @query(lambda: values(list(TEXTS), "text, tokens"))

@@ -38,7 +38,7 @@ def test_sql_gives_the_same(spark, con, name):
     assert rows(df.columns, got) == rows(result.columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["parse_tokens", "clitic_split_tokens", "normalize_morphemes", "normalize_summary", "fertility_morphemes"])
+@pytest.mark.parametrize("name", ["parse_tokens", "clitic_split_tokens", "normalize_surface", "normalize_morphemes", "normalize_jsonl", "normalize_summary", "tokenize_text", "suggester_bench", "fertility_morphemes"])
 def test_other_queries_run(spark, name):
     df = catalogue.QUERIES[name](spark, SF)
     assert df.count() > 0
