@@ -11,7 +11,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from hecespark.functions import chars
 from hecespark.operators import chart, clitic, correct, feats, normalize, parse
-from hecespark.runtime import bind
+from hecespark.runtime import at_least, bind
 
 LONGEST = 50_000
 WORDS = f"word string, segments array<string>, analysis {feats.WIRE}, alternatives array<string>"
@@ -94,7 +94,7 @@ def tokenize_text(texts: DataFrame, text: str = "text", keep: tuple[str, ...] =
     """
     if "tokens" in {k.lower() for k in keep}:
         raise ValueError("a column named tokens can't be kept: it is the result")
-    given = normalize.at_least(texts.select(*keep, *([text] if text not in keep else [])))
+    given = at_least(texts.select(*keep, *([text] if text not in keep else [])))
     kept = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
     out = given.mapInArrow(bind(__name__, "text_kernel", parse.held(texts.sparkSession, **options), _arrow(f"tokens {TOKENS}")[0].type, text, list(keep), alternatives, clitics), f"{kept}tokens {TOKENS}")
     empty = F.array().cast("array<string>")

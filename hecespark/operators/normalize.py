@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hecespark.functions import chars
 from hecespark.operators import chart, clitic, feats, parse, text
-from hecespark.runtime import bind
+from hecespark.runtime import at_least, bind
 
 SEPARATOR = "▁"
 MODES = ("surface", "lemma", "morphemes", "jsonl")
@@ -68,17 +68,11 @@ def lines(df: DataFrame, mode: str = "surface", line: str = "text", keep: tuple[
     if "line" in {k.lower() for k in keep}:
         raise ValueError("a column named line can't be kept: it is the result")
     given = df.select(*keep, *([line] if line not in keep else []))
-    given = given if df.isStreaming else at_least(given)
+    given = at_least(given)
     kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     return given.mapInArrow(bind(__name__, "line_kernel", parse.held(df.sparkSession, **options), line, list(keep), mode, fold, clitics, separator), f"{kept}line string")
 
 
-def at_least(df: DataFrame) -> DataFrame:
-    """df in no fewer partitions than there are cores: kernels take long for few bytes. Nothing moves where a scan has as many."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def surface(df: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     return lines(df, "surface", line, keep, **options)
 

@@ -13,7 +13,16 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return at_least(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def at_least(df: DataFrame) -> DataFrame:
+    """df in no fewer partitions than there are cores, as a few megabytes of text are seconds of work. Nothing moves where a scan has as many,
+    and what comes out of a shuffle (whose partitions adaptive execution decides on) or a stream stays as it is."""
+    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def bind(module: str, name: str, *args) -> Callable:

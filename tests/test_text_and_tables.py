@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hecespark.operators import api, evaluate, fertility, fuzzy, graph, normalize, text
 from hecespark.sources import dims, lexicon
+from hecespark.runtime import at_least
 from hecespark.streaming import lines
 
 
@@ -123,7 +124,9 @@ def test_kernels_use_all_cores(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = parse.best(df).select(F.spark_partition_id().alias("p")).distinct().count()
     assert found == parts
-    assert normalize.at_least(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
+    assert at_least(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
+    assert "Exchange" not in at_least(spark.range(10, numPartitions=cores + 1))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_fertility(spark):
