@@ -4,7 +4,8 @@ A vocabulary is a rank file (base64 token, rank): a token's rank is its id, and
 ranks. Encoding is the backtracking method: at each byte the longest token of an Aho-Corasick automaton is
 tried, then its shorter prefixes; a token may follow another only where the pair is *compatible*, i.e. merging
 would leave the boundary between them; a position found to be a dead end is never tried again. That gives exactly the tokens
-of rank-ordered merging, in time linear in the bytes. Decoding gathers bytes through a table of offsets.
+of rank-ordered merging, in time linear in the bytes. Decoding gathers bytes through a table of offsets. The order of steps of the
+backtracking follows that of the encoder which the open-source Rust crate bpe (MIT licence) has published.
 """
 
 from __future__ import annotations
