@@ -67,3 +67,31 @@ def test_pages_with_nulls_repeats_long_and_clashing_columns(spark, tmp_path):
     assert {r["status"] for r in got} == {"ok"} and {r["http_status"] for r in got} == {200}
     assert sum(r["record_id"] == "urn:hecespark:page:1" for r in got) == 2
     assert [r["target_uri"] for r in got if r["record_id"] == "urn:hecespark:page:2"] == [None]
+
+
+def test_file_of_another_writer(spark, tmp_path):
+    """Records as other crawlers write them: gzip headers with a name and time, other record types, folded headers, lower case, digests of other spellings, chunked bodies as they are."""
+    import base64
+    import gzip
+    import hashlib
+
+    def member(head: str, block: bytes) -> bytes:
+        out = io.BytesIO()
+        with gzip.GzipFile("crawl.warc", "wb", 9, out, mtime=1) as f:
+            f.write(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+        return out.getvalue()
+
+    body = b"5\r\nhello\r\n0\r\n\r\n"
+    http = b"HTTP/1.1 404 Not Found\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+    sha = base64.b32encode(hashlib.sha1(http).digest()).decode()
+    ask = b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"
+    data = b"".join((
+        member("WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 13", b"software: x\r\n"),
+        member(f"WARC/1.1\r\nwarc-type: response\r\nwarc-record-id: <urn:uuid:2>\r\nWARC-Target-URI: http://x/\r\n  folded\r\nWARC-Block-Digest: sha1:{sha.lower()}\r\ncontent-type: application/http; msgtype=response\r\ncontent-length: {len(http)}", http),
+        member(f"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:uuid:3>\r\nContent-Type: application/http; msgtype=request\r\nContent-Length: {len(ask)}", ask),
+        member("WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:4>\r\nContent-Length: 0", b""),
+    ))
+    (tmp_path / "crawl.warc.gz").write_bytes(data)
+    got = {r["record_id"]: r for r in warc.read(spark, [str(tmp_path / "crawl.warc.gz")]).collect()}
+    assert [(r["type"], r["status"], r["http_status"]) for r in got.values()] == [("warcinfo", "no_digest", None), ("response", "ok", 404), ("request", "no_digest", None), ("revisit", "no_digest", None)]
+    assert bytes(got["urn:uuid:2"]["payload"]) == body and got["urn:uuid:2"]["target_uri"] == "http://x/ folded" and bytes(got["urn:uuid:1"]["payload"]) == b"software: x\r\n"
