@@ -18,6 +18,7 @@ from hecespark.operators import api, clitic, correct, evaluate, feats, fertility
 from hecespark.plans.sql import CHUNK, KIND, TOKENS, WORD, applied, quoted, values
 from hecespark.runtime import scratch, table
 from hecespark.sources import dims, lexicon
+from hecespark.streaming import lines
 
 WEIGHTS = parse.Weights()
 
@@ -180,9 +181,18 @@ def graph_reachability(spark, sf_dir):
     return graph.reachable(dims.edge_frame(spark), list(dims.START.values()))
 
 
-@query(lambda: f"SELECT e.suffix_id, e.from_state FROM ({_edges()}) e WHERE e.suffix_id NOT IN (SELECT id FROM ({_suffixes('')}))")
+#: Edges of a suffix, and to and from states, that aren't there.
+LOST = (("NOUN_ROOT", "NO_SUCH_SUFFIX", "NOUN_NUM"), ("NOUN_ROOT", "PLUR", "NO_SUCH_STATE"), ("NO_SUCH_STATE", "PLUR", "NOUN_NUM"))
+
+
+@query(lambda: f"""
+WITH e AS ({_edges()} UNION ALL {values(list(LOST), 'from_state, suffix_id, to_state')}), s AS ({values([(x,) for x in dims.grammar().accept], 'state')})
+SELECT DISTINCT suffix_id, from_state, to_state FROM e
+WHERE suffix_id NOT IN (SELECT id FROM ({_suffixes('')})) OR from_state NOT IN (SELECT state FROM s) OR to_state NOT IN (SELECT state FROM s)""")
 def dangling_refs(spark, sf_dir):
-    return graph.dangling(dims.edge_frame(spark), dims.suffix_frame(spark), dims.state_frame(spark)).select("suffix_id", "from_state")
+    """The packaged graph's edges with three more that lead nowhere: those alone are found."""
+    more = spark.createDataFrame([(*e, 0) for e in LOST], "from_state string, suffix_id string, to_state string, ord int")
+    return graph.dangling(dims.edge_frame(spark).unionByName(more), dims.suffix_frame(spark), dims.state_frame(spark)).select("suffix_id", "from_state", "to_state")
 
 
 @query(lambda: f"SELECT id, regexp_full_match(template, '(?:[a-zçğıöşüAHDCG]|\\([a-zçğıöşüAHDCG]\\))*') AS valid FROM ({_suffixes('')})")
@@ -591,8 +601,8 @@ COUNTED = ((None, 4, 4, 3, 4, 3, 16, 2, 0, 0.941176), ("NOUN", 2, 2, 1, 2, 1, 4,
 
 @query(lambda: f"SELECT upos, n, parsed, root, class, exact, tp, fp, fn, f1::DOUBLE AS f1 FROM ({values(list(COUNTED), 'upos, n, parsed, root, class, exact, tp, fp, fn, f1')})")
 def eval_treebank(spark, sf_dir):
-    lines = spark.createDataFrame([(x,) for x in TREEBANK], "value string")
-    return evaluate.counters(*evaluate.treebank(lines)).select("upos", "n", "parsed", "root", "class", "exact", "tp", "fp", "fn", "f1")
+    bank = spark.createDataFrame([(x,) for x in TREEBANK], "value string")
+    return evaluate.counters(*evaluate.treebank(bank)).select("upos", "n", "parsed", "root", "class", "exact", "tp", "fp", "fn", "f1")
 
 
 @query()
@@ -608,6 +618,6 @@ def stream_word_counts(spark, sf_dir):
     folder = scratch(spark, "stream")
     docs.select("doc_id", F.col("text").alias("value")).write.parquet(f"{folder}/in")
     source = spark.readStream.schema("doc_id bigint, value string").parquet(f"{folder}/in")
-    counted = source.select("doc_id", F.size(F.filter(text.chunks("value"), lambda c: text.kind(c) == "word")).cast("bigint").alias("words"))
+    counted = lines.rendered(source, keep=("doc_id",)).select("doc_id", F.col("words").cast("bigint").alias("words"))
     counted.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("doc_id bigint, words bigint").parquet(f"{folder}/out")

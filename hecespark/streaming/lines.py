@@ -14,11 +14,11 @@ def read(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Data
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
 
 
-def rendered(lines: DataFrame, fold: bool = False) -> DataFrame:
-    """(line, words): each line with its circumflexes folded in words if ``fold``, and the number of its words. Stateless."""
+def rendered(lines: DataFrame, fold: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, line, words): each line with its circumflexes folded in words if ``fold``, and the number of its words. Stateless."""
     parts = text.chunks("value")
     shown = F.transform(parts, lambda c: F.when(text.kind(c) == "word", chars.fold(c)).otherwise(c)) if fold else parts
-    return lines.select(F.coalesce(F.array_join(shown, ""), F.lit("")).alias("line"), F.coalesce(F.size(F.filter(parts, lambda c: text.kind(c) == "word")), F.lit(0)).alias("words"))
+    return lines.select(*keep, F.coalesce(F.array_join(shown, ""), F.lit("")).alias("line"), F.coalesce(F.size(F.filter(parts, lambda c: text.kind(c) == "word")), F.lit(0)).alias("words"))
 
 
 def summary(lines: DataFrame) -> DataFrame:
