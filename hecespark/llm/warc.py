@@ -55,7 +55,8 @@ def response(page_id: int | None, url: str | None, html: str, date: str) -> byte
 def open_fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def write_kernel(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterator[pa.RecordBatch]:

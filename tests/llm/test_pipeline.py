@@ -50,6 +50,43 @@ def test_run_is_its_stages(spark, sf_dir):
     assert key(corpus_pipeline.run(spark, sf_dir)) == key(docs)
 
 
+def test_run_against_brute_force(spark, sf_dir):
+    """The whole run held against what plain Python makes of the documents: which stay, masked, laid end to end and cut, and tokens by another encoder."""
+    import base64
+    from collections import Counter, defaultdict
+
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(bpe.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+    other = tiktoken.Encoding("other", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    kept, seen = [], []
+    for i, text, source in sorted(rows):
+        words = set((text or "").lower().split())
+        if set(BAD.split()) <= words:
+            continue
+        if words and any(len(words & w) >= 0.85 * max(len(words), len(w)) for w in seen):
+            continue
+        seen += [words] if words else []
+        kept.append((i, (text or "").replace(HEX, secrets.MASK), source))
+    frame = spark.createDataFrame([k for k in kept if k[1].split()], "doc_id bigint, text string, source string")
+    place = {r["doc_id"]: r["p"] % (1 << 64) for r in frame.select("doc_id", F.xxhash64(F.lit(0), "doc_id", "text").alias("p")).collect()}
+    laid = defaultdict(list)
+    for i, text, source in sorted((k for k in kept if k[1].split()), key=lambda k: place[k[0]]):
+        laid[source] += text.split()
+    blocks = {s: [tuple(w[k : k + 1024]) for k in range(0, len(w), 1024)] for s, w in laid.items()}
+    got = corpus_pipeline.run(spark, sf_dir)
+    out = got.join(bpe.decode(got).select("doc_id", "text"), "doc_id").collect()
+    assert len(out) == got.count() == sum(map(len, blocks.values()))
+    drawn = defaultdict(Counter)
+    for r in out:
+        drawn[r["source"]][tuple(r["text"].split())] += 1
+        assert list(r["tokens"]) == other.encode_ordinary(r["text"])
+    for s, counts in drawn.items():  # blocks of the source alone, each drawn as often as the others or once more
+        assert set(counts) <= set(blocks[s])
+        assert max(counts.values()) - min(counts[b] for b in blocks[s]) <= 1
+
+
 def test_empty_documents(spark, make, tmp_path):
     make([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
