@@ -64,12 +64,11 @@ def _file_system(spark: SparkSession, folder: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one. It goes when the session's JVM ends, or before that by drop()."""
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, path = _file_system(spark, folder)
+    """A new folder in the shared one, with its file system's name. It goes when the session's JVM ends, or before that by drop()."""
+    fs, path = _file_system(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return folder
+    return fs.makeQualified(path).toString()
 
 
 def drop(spark: SparkSession, folder: str) -> None:
