@@ -34,8 +34,8 @@ _GENERATOR = 0b110001110101
 PAIRWISE = 48
 #: There, a member is done with once it is found within SURE bits (word sets that differ too much don't get so near), or found so many times.
 SURE, WITNESSES = 6, 8
-#: Of ids that are sent to all workers, counted beforehand.
-BROADCAST_BYTES = 32 << 20
+#: Of ids that are sent to all workers, counted beforehand, and what one takes in a worker's hash table.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 64
 
 
 def syndrome(v: np.ndarray) -> np.ndarray:
@@ -293,4 +293,4 @@ def drop_near(docs: DataFrame) -> DataFrame:
 def sized(ids: DataFrame) -> DataFrame:
     """ids (of one column) written once; to be broadcast where they are counted and found to take up to BROADCAST_BYTES, else joined by a shuffle."""
     ids = cut(ids)
-    return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids.hint("merge")
+    return F.broadcast(ids) if ids.count() * ID_BYTES <= BROADCAST_BYTES else ids.hint("merge")
