@@ -7,7 +7,7 @@ repeat, and a blank or null line is an empty one.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,46 +15,52 @@ from pyspark.sql import functions as F
 
 from hecespark.functions import chars
 from hecespark.operators import chart, clitic, feats, parse, text
-from hecespark.runtime import at_least, bind
+from hecespark.runtime import at_least, bind, values
 
 SEPARATOR = "▁"
 MODES = ("surface", "lemma", "morphemes", "jsonl")
+#: Characters of lines that are sent at once, or one line.
+BATCH_CHARS = 4 << 20
 _FOLD = str.maketrans(chars.CIRCUMFLEX, chars.PLAIN)
 
 
-def tokens(c: chart.Chart, line: str, clitics: bool) -> list[tuple[str, str]]:
-    """(chunk, kind) of a line, particles parted from their words."""
-    parts = text.split(line)
-    return [(p, kind) for chunk, kind in parts for p in (clitic.pieces(c, chunk) if kind == "word" else (chunk,))] if clitics else parts
-
-
-def rendered(c: chart.Chart, line: str | None, mode: str, fold: bool, clitics: bool, separator: str) -> str:
-    if line is None or not line.strip():
-        return ""
-    parts = tokens(c, line, clitics)
-    if mode == "surface":
-        out, last = [], ""
-        for chunk, kind in parts:
-            if kind == last == "word":
-                out.append(" ")
-            out.append(chunk.translate(_FOLD) if fold and kind == "word" else chunk)
-            last = kind
-        return "".join(out)
-    words = [chunk for chunk, kind in parts if kind == "word"]
-    best = map(c.best, words)
+def _piece(a: chart.Analysis | None, w: str, mode: str, separator: str) -> str:
     if mode == "lemma":
-        return " ".join(w if a is None else a.root or w for w, a in zip(words, best))
+        return w if a is None else a.root or w
     if mode == "morphemes":
-        return " ".join(w if a is None else feats.split_of(a).replace("-", separator) or w for w, a in zip(words, best))
-    made = [{"surface": w, "lemma": a and a.root, "pos": a and a.root_class, "morphemes": [a.root_chunk, *a.chunks] if a else [], "oov": a and a.oov} for w, a in zip(words, best)]
-    return json.dumps({"text": line, "tokens": made}, ensure_ascii=False)
+        return w if a is None else feats.split_of(a).replace("-", separator) or w
+    return json.dumps({"surface": w, "lemma": a and a.root, "pos": a and a.root_class, "morphemes": [a.root_chunk, *a.chunks] if a else [], "oov": a and a.oov}, ensure_ascii=False)
+
+
+def renderer(c: chart.Chart, mode: str, fold: bool, clitics: bool, separator: str) -> Callable[[str | None], str]:
+    """A line as ``mode`` has it. Each different word is made once while the worker keeps it: chunks of one kind are never neighbours, so that
+    a blank is needed between the pieces of one word alone."""
+    parted = (lambda w: clitic.pieces(c, w)) if clitics else lambda w: (w,)
+    if mode == "surface" and not clitics:
+        made = lambda x: x.translate(_FOLD) if fold else x
+    elif mode == "surface":
+        own = c.showing((mode, fold), lambda w: " ".join(p.translate(_FOLD) if fold else p for p in parted(w)))
+        made = lambda x: text.WORDS.sub(lambda m: own[m[0]], x)
+    else:
+        between = ", " if mode == "jsonl" else " "
+        own = c.showing((mode, clitics, separator), lambda w: between.join(_piece(c.best(p), p, mode, separator) for p in parted(w)))
+        words = lambda x: between.join(map(own.__getitem__, text.WORDS.findall(x)))
+        made = words if mode != "jsonl" else lambda x: f'{{"text": {json.dumps(x, ensure_ascii=False)}, "tokens": [{words(x)}]}}'
+    return lambda x: "" if x is None or not x.strip() else made(x)
 
 
 def line_kernel(batches: Iterator[pa.RecordBatch], payload, line: str, keep: list[str], mode: str, fold: bool, clitics: bool, separator: str) -> Iterator[pa.RecordBatch]:
-    c = chart.of(payload)
+    """Lines are made and sent in batches of some BATCH_CHARS: they may be many times as long as their texts."""
+    render = renderer(chart.of(payload), mode, fold, clitics, separator)
     for batch in batches:
-        made = [rendered(c, x, mode, fold, clitics, separator) for x in batch.column(line).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(made, pa.string())], names=[*keep, "line"])
+        made, size, at = [], 0, 0
+        for k, x in enumerate(values(batch.column(line)), 1):
+            made.append(render(x))
+            size += len(made[-1])
+            if size >= BATCH_CHARS or k == batch.num_rows:
+                part = batch.slice(at, len(made))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(made, pa.string())], names=[*keep, "line"])
+                made, size, at = [], 0, k
 
 
 def lines(df: DataFrame, mode: str = "surface", line: str = "text", keep: tuple[str, ...] = ("doc_id",), fold: bool = False, clitics: bool = True, separator: str = SEPARATOR, **options) -> DataFrame:
@@ -91,16 +97,20 @@ def jsonl(df: DataFrame, line: str = "text", keep: tuple[str, ...] = ("doc_id",)
 
 def count_kernel(batches: Iterator[pa.RecordBatch], payload, line: str, clitics: bool) -> Iterator[pa.RecordBatch]:
     c = chart.of(payload)
+
+    def counted(word: str) -> int:
+        """Words, and those of an unknown root times 2^32."""
+        best = [c.best(p) for p in (clitic.pieces(c, word) if clitics else (word,))]
+        return len(best) + (sum(a is not None and a.oov for a in best) << 32)
+
+    own = c.showing(("count", clitics), counted)
     for batch in batches:
-        n = words = oov = 0
-        for x in batch.column(line).to_pylist():
-            n += 1
-            for chunk, kind in tokens(c, x, clitics) if x and x.strip() else ():
-                if kind == "word":
-                    words += 1
-                    a = c.best(chunk)
-                    oov += a is not None and a.oov
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (n, words, oov)], names=["lines", "words", "oov"])
+        words = oov = 0
+        for x in values(batch.column(line)):
+            got = sum(map(own.__getitem__, text.WORDS.findall(x))) if x else 0
+            words += got & 0xFFFFFFFF
+            oov += got >> 32
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (batch.num_rows, words, oov)], names=["lines", "words", "oov"])
 
 
 def summary(df: DataFrame, line: str = "text", clitics: bool = True, **options) -> DataFrame:
