@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
+from hecespark.runtime import bind
 
 #: Classes of characters, without their brackets. White space is written out: engines don't agree on \s.
 WORD = "A-Za-z0-9çğıöşüÇĞİÖŞÜâîûêôÂÎÛÊÔ'’"
@@ -56,5 +61,27 @@ def top_tokens(df: DataFrame, k: int = 100, text: str = "text") -> DataFrame:
 
 
 def rebuild_text(parts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, text: the chunks of each row in the order of pos."""
-    return parts.groupBy(*keep, "row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("p")).select(*keep, F.array_join("p.chunk", "").alias("text"))
+    """keep, text: the chunks of each row in the order of pos, of which a row has each once. Chunks that come one after the other are joined before they are shuffled."""
+    given = parts.select(*keep, "row", "pos", "chunk")
+    runs = given.mapInArrow(bind(__name__, "run_kernel", list(keep)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema))
+    return runs.groupBy(*keep, "row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("p")).select(*keep, F.array_join("p.chunk", "").alias("text"))
+def run_kernel(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """keep, row, pos, chunk of runs of rows whose pos follow each other: the first pos, and the chunks as one, which they are in Arrow's memory."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        pos = batch.column("pos")
+        joined = pc.fill_null(pc.equal(pc.subtract(pos.slice(1), pos.slice(0, n - 1)), 1), False)
+        for c in (batch.column(k) for k in (*keep, "row")):
+            a, b = c.slice(0, n - 1), c.slice(1)
+            same = pc.is_null(a) if pa.types.is_nested(c.type) else pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            joined = pc.and_(joined, pc.and_(same, pc.is_null(b)) if pa.types.is_nested(c.type) else same)
+        starts = np.flatnonzero(np.concatenate(([True], ~joined.to_numpy(zero_copy_only=False))))
+        chunk = pc.fill_null(batch.column("chunk").cast(pa.string()), "")
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + n + 1]
+        runs = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(ends[starts], ends[n])), chunk.buffers()[2])
+        first = batch.take(pa.array(starts))
+        yield pa.RecordBatch.from_arrays([*(first.column(k) for k in (*keep, "row", "pos")), runs], names=[*keep, "row", "pos", "chunk"])
+
+
