@@ -51,8 +51,18 @@ def words_of(text) -> Column:
 
 
 def tokens(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, token: a row for each word, in small letters without circumflex."""
-    return df.select(*keep, F.explode(words_of(text)).alias("word")).select(*keep, chars.fold(chars.tr_lower("word")).alias("token"))
+    """keep, token: a row for each word, in small letters without circumflex. The text is translated whole: letters of words become letters of words."""
+    return df.select(*keep, F.explode(words_of(chars.fold(chars.tr_lower(text)))).alias("token"))
+
+
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the distinct words as written, and how often each occurs."""
+    return df.select(F.explode(words_of(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def distinct_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """The distinct rows of tokens(); only distinct words are translated."""
+    return df.select(F.explode(words_of(text)).alias("word")).distinct().select(chars.fold(chars.tr_lower("word")).alias("token")).distinct()
 
 
 def top_tokens(df: DataFrame, k: int = 100, text: str = "text") -> DataFrame:
@@ -60,11 +70,6 @@ def top_tokens(df: DataFrame, k: int = 100, text: str = "text") -> DataFrame:
     return tokens(df, text).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
 
 
-def rebuild_text(parts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, text: the chunks of each row in the order of pos, of which a row has each once. Chunks that come one after the other are joined before they are shuffled."""
-    given = parts.select(*keep, "row", "pos", "chunk")
-    runs = given.mapInArrow(bind(__name__, "run_kernel", list(keep)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema))
-    return runs.groupBy(*keep, "row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("p")).select(*keep, F.array_join("p.chunk", "").alias("text"))
 def run_kernel(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
     """keep, row, pos, chunk of runs of rows whose pos follow each other: the first pos, and the chunks as one, which they are in Arrow's memory."""
     for batch in batches:
@@ -85,3 +90,8 @@ def run_kernel(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*(first.column(k) for k in (*keep, "row", "pos")), runs], names=[*keep, "row", "pos", "chunk"])
 
 
+def rebuild_text(parts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, text: the chunks of each row in the order of pos, of which a row has each once. Chunks that come one after the other are joined before they are shuffled."""
+    given = parts.select(*keep, "row", "pos", "chunk")
+    runs = given.mapInArrow(bind(__name__, "run_kernel", list(keep)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema))
+    return runs.groupBy(*keep, "row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("p")).select(*keep, F.array_join("p.chunk", "").alias("text"))

@@ -51,12 +51,13 @@ def vowel_zero(form: Column, lemma: Column) -> Column:
     return F.when(fits, short)
 
 
-def extract(rows: DataFrame) -> DataFrame:
-    """(form, class, frequency, soften, variants): roots of conllu() rows. Case is that of the plain lower(), as the lexicon to match has it."""
+def extract(rows: DataFrame, n: str | None = None) -> DataFrame:
+    """(form, class, frequency, soften, variants): roots of conllu() rows, that count ``n`` times where it is given. Only distinct rows are looked at. Case is that of the plain lower(), as the lexicon to match has it."""
     lemma, form = F.lower("lemma"), F.lower("form")
-    r = rows.where(F.col("upos").isin(*OPEN, "PROPN") & clean_lemma("lemma")).select(lemma.alias("lemma"), form.alias("word"), F.when(F.col("upos") == "PROPN", "NOUN").otherwise(F.col("upos")).alias("class"))
+    rows = rows.where(F.col("upos").isin(*OPEN, "PROPN")).groupBy("form", "lemma", "upos").agg((F.count("*") if n is None else F.sum(n)).alias("n"))
+    r = rows.where(clean_lemma("lemma")).select("n", lemma.alias("lemma"), form.alias("word"), F.when(F.col("upos") == "PROPN", "NOUN").otherwise(F.col("upos")).alias("class"))
     r = r.withColumn("soft", softens(F.col("word"), F.col("lemma"))).withColumn("zero", vowel_zero(F.col("word"), F.col("lemma")))
-    out = r.groupBy("lemma", "class").agg(F.count("*").alias("frequency"), F.bool_or("soft").alias("soften"), F.array_sort(F.collect_set("zero")).alias("variants"))
+    out = r.groupBy("lemma", "class").agg(F.sum("n").alias("frequency"), F.bool_or("soft").alias("soften"), F.array_sort(F.collect_set("zero")).alias("variants"))
     return out.where(F.length("lemma") > 1).select(F.col("lemma").alias("form"), "class", "frequency", "soften", "variants")
 
 
@@ -74,7 +75,8 @@ def pruned(roots: DataFrame, gone: DataFrame) -> DataFrame:
 
 def headwords(words: DataFrame) -> DataFrame:
     """(form, class, soften) of dictionary words: those in -mak and -mek are verbs without it. Words with other letters, with blanks, and of a length outside 2 to 20 are dropped."""
-    w = words.select(chars.etl_lower("word").alias("word")).where("word is not null").distinct().where(F.col("word").rlike(r"\A[a-zçğıöşüâîû]{2,20}\z"))
+    w = words.select("word").where("word is not null").distinct().select(chars.etl_lower("word").alias("word")).distinct()
+    w = cut(w.where(F.col("word").rlike(r"\A[a-zçğıöşüâîû]{2,20}\z")))
     verb = F.col("word").rlike("m[ae]k\\z") & (F.length("word") > 3)
     r = w.where(~(F.col("word").rlike("m[ae]k\\z") & (F.length("word") <= 3))).select("word", F.when(verb, F.left("word", F.length("word") - 3)).otherwise(F.col("word")).alias("form"), F.when(verb, "VERB").otherwise("NOUN").alias("class"))
     soft = r.where((F.col("class") == "NOUN") & chars.ends_in(chars.HARD, "form")).select("form", chars.soften_final("form").alias("key")).join(w.select(F.col("word").alias("key")), "key", "left_semi").select("form", F.lit(True).alias("soften"))
