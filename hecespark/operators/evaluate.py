@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hecespark.functions import chars
 from hecespark.operators import correct, feats, fuzzy, parse
+from hecespark.runtime import cut
 from hecespark.sources import lexicon
 
 MAP = "map<string,string>"
@@ -68,13 +69,14 @@ def suggester(words: DataFrame, sample: int = 200, seed: int = 1, tail_repair: b
     """How corrections do on typos: a row for all (by is null), for each kind of edit and each region (stem, or tail: the last TAIL letters): n, fired, top1, top3 and their shares in percent.
 
     Gold are distinct words of letters alone, of GOLD_LENGTHS, of a known root; each gets one typo, and those that make a word of a known root again are
-    passed over. ``sample`` typos are tried, those with the smallest hashes. No typos: one row of zeros."""
+    passed over. ``sample`` typos are tried, those with the smallest hashes. No typos: one row of zeros. What words are gold, and the sample, are each found once."""
     low, high = GOLD_LENGTHS
     w = words.select(chars.tr_lower("word").alias("word")).where(F.length("word").between(low, high) & F.col("word").rlike(r"\A\p{L}+\z")).distinct()
     gold = parse.best(w, **options).where("not oov").select("word")
     made = gold.withColumn("t", fuzzy.typo("word", seed)).select("word", "t.typo", "t.kind", F.when(F.col("t.at") >= F.length("word") - TAIL, "tail").otherwise("stem").alias("region")).where("typo is not null")
+    made = cut(made)
     known = parse.best(made.select(F.col("typo").alias("word")), **options).where("not oov").select(F.col("word").alias("typo"))
-    cases = made.join(known, "typo", "left_anti").orderBy(F.xxhash64("word"), "word").limit(sample)
+    cases = cut(made.join(known, "typo", "left_anti").orderBy(F.xxhash64("word"), "word").limit(sample))
     found = correct.correct(cases.select(F.col("typo").alias("word")), tail_repair, **options).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "corrected"))).alias("p"))
     shown = F.transform(F.col("p.corrected"), lambda x: chars.fold(chars.tr_lower(x)))
     j = cases.join(found.select(F.col("word").alias("typo"), shown.alias("got")), "typo", "left")
