@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hecespark.functions import chars
 from hecespark.operators import parse, text
-from hecespark.runtime import ROOT
+from hecespark.runtime import ROOT, cut
 
 #: Marks that splitters put on pieces: each is taken off the start once and off the end once, in this order.
 MARKS = ("▁", "Ġ", "##", "</w>", "Ċ")
@@ -91,10 +91,18 @@ def morpheme_boundaries(root_chunk: Column, chunks: Column) -> Column:
     return boundaries(F.filter(F.concat(F.array(root_chunk), chunks), lambda c: c != ""))
 
 
+def counted(df: DataFrame, column: str = "text") -> DataFrame:
+    """(word, n): distinct words in small letters, and how often each occurs."""
+    return text.word_counts(df, column).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+
+
 def counts(df: DataFrame, adapter: str | Callable[[Column], Column] = "char", column: str = "text") -> DataFrame:
     """(word, n, pieces) of distinct words in small letters, and how often each occurs."""
+    return encoded(counted(df, column), adapter)
+
+
+def encoded(words: DataFrame, adapter: str | Callable[[Column], Column] = "char") -> DataFrame:
     encode = ADAPTERS[adapter] if isinstance(adapter, str) else adapter
-    words = df.select(F.explode(text.words_of(column)).alias("w")).select(F.lower("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return words.withColumn("pieces", encode(F.col("word"))).where(F.size("pieces") > 0)
 
 
@@ -108,7 +116,7 @@ def basics(df: DataFrame, adapter="char", column: str = "text") -> DataFrame:
 def score(df: DataFrame, adapter="char", column: str = "text", **options) -> DataFrame:
     """One row: words, tokens, morphemes, fertility, tokens_per_morpheme, morphemes_per_word, single_share, aligned_share, and precision,
     recall and f1 of inner boundaries. A word without an analysis counts as one morpheme; df is scored whole."""
-    c = counts(df, adapter, column)
+    c = encoded(cut(counted(df, column)), adapter)
     best = parse.best(c.select("word"), **options).select("word", morpheme_boundaries(F.col("root_chunk"), F.col("chunks")).alias("gold"), F.size(F.filter(F.concat(F.array("root_chunk"), "chunks"), lambda x: x != "")).alias("m"))
     j = c.join(best, "word", "left").withColumn("got", inner(chars.letters_only("word"), F.transform("pieces", lambda p: chars.letters_only(p))))
     hit = F.size(F.array_intersect("gold", "got"))
