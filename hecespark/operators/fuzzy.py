@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hecespark.functions import chars
+from hecespark.runtime import bind
 
 #: Letters that edits insert and substitute: those that suffixes are made of.
 ALPHABET = "aeıioöuücçdgğklmnrsştyz"
@@ -102,12 +106,39 @@ def edits1(word) -> Column:
     return F.array_remove(F.array_distinct(F.concat(deleted, swapped, changed, added)), w)
 
 
+def edits_of(w: str) -> set[str]:
+    """edits1() of a string."""
+    halves = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+    out = {a + b[1:] for a, b in halves if b} | {a + b[1] + b[0] + b[2:] for a, b in halves if len(b) > 1}
+    for a, b in halves:
+        rest = b[1:]
+        out.update([a + c + b for c in ALPHABET])
+        if b:
+            out.update([a + c + rest for c in ALPHABET])
+    out.discard(w)
+    return out
+
+
 def make_typo(word, seed: int) -> Column:
     """One of the edits of a word, by the hash of word and seed; the word itself if it has none."""
     e = edits1(word)
     return F.coalesce(F.try_element_at(F.sort_array(e), (F.pmod(F.xxhash64(chars._c(word), F.lit(seed)), F.greatest(F.size(e), F.lit(1))) + 1).cast("int")), chars._c(word))
 
 
+def typo_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for w, h in zip(batch.column("word").to_pylist(), batch.column("h").to_pylist()):
+            e = sorted(edits_of(w)) if w is not None else ()
+            made.append(e[h % len(e)] if e else w)
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(made, pa.string())], names=["word", "typo"])
+
+
+def typos(words: DataFrame, seed: int) -> DataFrame:
+    """(word, typo): make_typo() of each row's word, by strings in place of interpreted expressions."""
+    return words.select("word", F.xxhash64("word", F.lit(seed)).alias("h")).mapInArrow(bind(__name__, "typo_kernel"), "word string, typo string")
+
+
 def typo(word, seed: int) -> Column:
     """An edit of a word as a struct (typo, kind, at): kind (substitute, transpose, delete, insert) and place by the hash of word and seed, letters
     of ALPHABET. Words of one letter and those that the edit leaves as they are have a null typo."""

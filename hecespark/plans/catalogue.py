@@ -303,7 +303,7 @@ def treebank(counts: DataFrame) -> DataFrame:
     """Rows of text.word_counts(), n: how often each is there."""
     w = counts.withColumnRenamed("word", "form")
     n = F.length("form")
-    return w.select("form", F.when(n > 5, F.left("form", n - 2)).otherwise(F.col("form")).alias("lemma"), F.when(n % 4 == 0, "NOUN").when(n % 4 == 1, "VERB").when(n % 4 == 2, "PROPN").otherwise("ADV").alias("upos"))
+    return w.select("n", "form", F.when(n > 5, F.left("form", n - 2)).otherwise(F.col("form")).alias("lemma"), F.when(n % 4 == 0, "NOUN").when(n % 4 == 1, "VERB").when(n % 4 == 2, "PROPN").otherwise("ADV").alias("upos"))
 
 
 _SOFT = f"length(word) > length(lemma) AND contains('{chars.HARD}', right(lemma, 1)) AND left(word, length(lemma)) = left(lemma, length(lemma) - 1) || translate(right(lemma, 1), '{chars.HARD}', '{chars.SOFT}')"
